@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -38,9 +39,9 @@ def hash_embedding(texts: list[str], width: int = 64) -> list[list[float]]:
 
 def embedded(rows: DataFrame, embed: Embedder, text_col: str, out: str = "embedding", batch: int = 64, pause_ms: int = 0) -> DataFrame:
     """``rows`` with a vector of each text; null texts have none. Order within a batch is that of the rows."""
-    schema = rows.schema.add(out, "array<float>") if out not in rows.columns else rows.schema
     rows = rows.drop(out)
     names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -54,10 +55,7 @@ def embedded(rows: DataFrame, embed: Embedder, text_col: str, out: str = "embedd
                     time.sleep(pause_ms / 1000)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], [*names, out])
 
-    from pyspark.sql import types as T
-
-    fields = [f for f in schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.FloatType()))]
-    return rows.mapInArrow(run, T.StructType(fields))
+    return rows.mapInArrow(run, schema)
 
 
 def answered(prompts: DataFrame, chat: Callable[[list[dict]], str], retries: int = 3, first_wait: float = 1.0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..plans.lineage import numbered, runs
 
 FIELDS = ("file_path", "line", "severity", "message", "confidence", "suggestion", "patch", "rule")
 
@@ -86,17 +87,8 @@ def deduplicated(comments: DataFrame) -> DataFrame:
 
 
 def renumbered(rows: DataFrame, by: str | None = None) -> DataFrame:
-    """Rows with ``idx`` from 0 in the order of ord, within ``by`` if given."""
-    if by:
-        return rows.withColumn("idx", F.row_number().over(W.partitionBy(by).orderBy("ord")) - 1)
-    # Over all rows: counted by ranges of ord, so no task sees all of them.
-    from ..plans.lineage import checkpointed
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = checkpointed(rows.repartitionByRange(n, "ord").withColumn("_p", F.spark_partition_id()))
-    ahead = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
-    base = laid.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
-    return laid.join(F.broadcast(base), "_p").withColumn("idx", F.col("_base") + F.row_number().over(W.partitionBy("_p").orderBy("ord")) - 1).drop("_p", "_base")
+    """Rows with ``idx`` from 0 in the order of ord, within ``by`` if given; no task sees all rows of a group."""
+    return numbered(rows, [by] if by else [], [F.col("ord")], "idx").withColumn("idx", F.col("idx") - 1)
 
 
 def reflected(comments: DataFrame, evaluations: DataFrame, least: int = 7) -> DataFrame:
@@ -188,8 +180,7 @@ def patch_log(files: DataFrame, comments: DataFrame) -> DataFrame:
 
 def merged_messages(messages: DataFrame) -> DataFrame:
     """Messages (conv_id, turn, role, content) with runs of one role joined by a blank line."""
-    order = W.partitionBy("conv_id").orderBy("turn")
-    rows = messages.withColumn("new", F.coalesce((F.lag("role").over(order) != F.col("role")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
+    rows = runs(messages, ["conv_id"], [F.col("turn")], "role")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda x: x["content"]), "\n\n")
     return rows.groupBy("conv_id", "run", "role").agg(F.min("turn").alias("turn"), body.alias("content")).select("conv_id", "turn", "role", "content")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..plans.lineage import numbered
 
 #: Most bytes of a query table that is broadcast; a larger one is joined in blocks.
 BROADCAST_BYTES = 64 << 20
@@ -47,14 +48,16 @@ def unit(c: str | Column) -> Column:
 def vector_search(rows: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """(query_id, key, score, place): the ``limit`` most similar rows of each query, earlier keys first on ties.
 
+    Vectors of another length and zero vectors score 0; a NaN stands above all numbers.
     A stated query set (query_id, query_vector) against all rows. Norms are taken once per row and
     query, only keys and scores reach the shuffle, and Spark cuts each partition to ``limit`` rows a
     query before it. Text is for the caller to join afterwards.
     """
     if limit <= 0:
         return rows.sparkSession.createDataFrame([], f"query_id bigint, {key} bigint, score double, place int")
-    q = queries.select("query_id", unit("query_vector").alias("qv")).where("qv is not null")
-    r = rows.where(F.col(vector).isNotNull()).select(key, unit(vector).alias("rv"))
+    some = lambda c: F.exists(c, lambda x: x != 0)
+    q = queries.where("query_vector is not null").select("query_id", unit("query_vector").alias("qv"), some("query_vector").alias("q_some"))
+    r = rows.where(F.col(vector).isNotNull()).select(key, unit(vector).alias("rv"), some(vector).alias("r_some"))
     size = queries.select("query_id", "query_vector")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     small = float(str(size)) * 2 <= BROADCAST_BYTES  # vectors become doubles
     if small:
@@ -68,7 +71,7 @@ def vector_search(rows: DataFrame, queries: DataFrame, limit: int, key: str = "c
     if exclude_self:
         pairs = pairs.where(F.col(key) != F.col("query_id"))
     dot = F.aggregate(F.zip_with("qv", "rv", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    hits = pairs.select("query_id", key, F.when(F.size("qv") == F.size("rv"), dot).otherwise(0.0).alias("score"))
+    hits = pairs.select("query_id", key, F.when((F.size("qv") == F.size("rv")) & F.col("q_some") & F.col("r_some"), dot).otherwise(0.0).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), key)
     return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
@@ -101,9 +104,10 @@ def bm25(post: DataFrame, queries: DataFrame, key: str, limit: int | None = None
     # one row of totals; the frequencies have a row per term that is asked for
     scored = post.join(wanted, "term").join(df, "term").join(F.broadcast(sizes)).groupBy("query_id", key).agg(F.sum(part).alias("raw"))
     scored = scored.select("query_id", key, F.round(F.greatest("raw", F.lit(0.0)), 9).alias("score"))
+    if limit is None:
+        return numbered(scored, ["query_id"], [F.col("score").desc(), F.col(key)])
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), key)
-    placed = scored.withColumn("place", F.row_number().over(order))
-    return placed if limit is None else placed.where(F.col("place") <= limit)
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
 # ------------------------------------------------------------------ fusion

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scores import KIND_LABELS, lookup
+from ..plans.lineage import checkpointed
 
 MAX_BYTES = 1_048_576
 SNIFF_BYTES = 8192
@@ -81,6 +82,7 @@ _COMPILED = {k: [(kind, re.compile(p, re.M)) for kind, p in v] for k, v in _DECL
 #: Kinds that hold members and give them their scope.
 _HOLDERS = {"Struct", "Enum", "Trait", "Impl", "Class", "Interface"}
 _WORD = re.compile(rf"(?<![\w.]){_W}|(?<=\.){_W}")
+_CONTROL = frozenset("if else for while loop match switch catch return do try".split())
 _RESERVED = frozenset("if else for while loop match return let mut fn pub use struct enum trait impl self Self super crate as in func package import var const type range go defer def class end do then module require true false nil null None True False function export default public private protected static final void int long char float double boolean new this await async try catch throw raise elif except with lambda not and or is from switch case break continue print string number".split())
 
 
@@ -152,7 +154,7 @@ def symbols_of(content: str, language: str) -> list[dict]:
     for kind, rx in rules:
         for m in rx.finditer(clean):
             at = m.start("n")
-            if at in taken or m.group("n") in _RESERVED:
+            if at in taken or m.group("n") in _CONTROL:
                 continue
             taken.add(at)
             begin = m.start() + len(m.group()) - len(m.group().lstrip())
@@ -279,8 +281,6 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     edges counted; what nodes without edges hold is dropped, so ranks need not add up to 1. Edges
     are weighted once and kept partitioned by their source; lineage is cut by checkpoints.
     """
-    from ..plans.lineage import checkpointed
-
     n = nodes.select(F.count("*").alias("n"))
     base = (1.0 - damping)
     out = edges.groupBy("from_id").agg(F.sum("m").alias("out"))

@@ -11,6 +11,7 @@ from ..functions import scores, text
 from ..operators import diffs, findings, history, retrieval, state, symbols
 from ..session import ship
 from ..sources import sinks
+from .lineage import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -341,18 +342,16 @@ f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + place)) AS score, count
 
 @query(f"WITH {_FUSE} SELECT query_id, chunk_id, round(score, 6) AS score, n_lists FROM f")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     rows = t(spark, d, "hits").where("query_id is not null and source is not null and chunk_id is not null and score is not null and not isnan(score)")
     rows = rows.groupBy("query_id", "source", "chunk_id").agg(F.max("score").alias("score"))
-    placed = rows.withColumn("place", F.row_number().over(W.partitionBy("query_id", "source").orderBy(F.col("score").desc(), "chunk_id")))
+    placed = numbered(rows, ["query_id", "source"], [F.col("score").desc(), F.col("chunk_id")])
     return retrieval.fuse(placed, "chunk_id").select("query_id", "chunk_id", *r6("score"), "n_lists")
 
 
 @query(f"""WITH {_BM}, q AS (SELECT chunk_id AS query_id, embedding::DOUBLE[] AS q, entity_name FROM ch WHERE chunk_id % 50 = 0),
 cv AS (SELECT chunk_id, embedding::DOUBLE[] AS e FROM ch WHERE embedding IS NOT NULL),
 vs AS (SELECT query_id, chunk_id, CASE WHEN len(q) <> len(e) OR len(e) = 0 OR list_sum(list_transform(q, lambda x: x * x)) = 0 OR list_sum(list_transform(e, lambda x: x * x)) = 0 THEN 0.0 ELSE list_cosine_similarity(q, e) END AS score FROM q, cv WHERE q IS NOT NULL),
-vp AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN isnan(score) THEN -2 ELSE score END, 9) DESC, chunk_id) AS place FROM vs QUALIFY place <= 20),
+vp AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM vs QUALIFY place <= 20),
 qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(entity_name), '[a-z0-9]+')) AS term FROM q),
 ks AS (SELECT query_id, chunk_id, {_BMSCORE} AS score FROM qt JOIN pt USING (term) JOIN dfq USING (term), st GROUP BY ALL),
 kp AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM ks QUALIFY place <= 20),
@@ -362,7 +361,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     rows = _chunks(spark, d)
     asked = rows.where("chunk_id % 50 = 0")  # the stated query set
     near = retrieval.vector_search(rows, asked.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector")), 200)
-    near = near.withColumn("score", F.round(F.when(F.isnan("score"), -2.0).otherwise(F.col("score")), 9)).drop("place")
+    near = near.withColumn("score", F.round("score", 9)).drop("place")
     near = retrieval.first_places(near, 20, "chunk_id")
     post = retrieval.postings(rows, "chunk_id", "entity_name", "content", "context_header")
     words = retrieval.bm25(post, asked.select(F.col("chunk_id").alias("query_id"), F.col("entity_name").alias("query_text")), "chunk_id", 20)

@@ -19,7 +19,7 @@ HISTORY = "commit_id string, author string, email string, ts bigint, message str
 
 
 def repository_files(spark: SparkSession, root: str, ignored: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, language, content) of a folder: files of known languages, not too large, not hidden, text in UTF-8.
+    """(path, language, content) of a folder: files of known languages, not too large, not hidden, not empty, text in UTF-8.
 
     Size and name are filtered before contents are read. ``ignored`` are paths below the root that
     an ignore file names (see ``git_ignored``); they are anti-joined.
@@ -32,7 +32,7 @@ def repository_files(spark: SparkSession, root: str, ignored: list[str] | None =
     rows = files.where(F.col("length") <= max_bytes).select(path.alias("rel"), "content").where(~F.col("rel").rlike(r"(^|/)\."))
     rows = rows.select("rel", lang.alias("language"), "content").where("language <> 'unknown'")
     rows = rows.where((F.locate("00", F.hex(F.substring("content", 1, 8192))) == 0) | ~F.hex(F.substring("content", 1, 8192)).rlike("^(?:..)*00")).where(F.is_valid_utf8(F.col("content").cast("string")))
-    rows = rows.select(F.col("rel").alias("path"), "language", F.col("content").cast("string").alias("content"))
+    rows = rows.where(F.length("content") > 0).select(F.col("rel").alias("path"), "language", F.col("content").cast("string").alias("content"))
     if ignored:
         rows = rows.join(spark.createDataFrame([(p,) for p in ignored], "path string"), "path", "left_anti")
     return rows
