@@ -41,8 +41,9 @@ _ISSUED = (
 DETECTORS: dict[str, tuple[str, int]] = {
     "key_block": (r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)", 0),
     "issued": (rf"(?<![A-Za-z0-9+/=_])(?P<v>{_ISSUED})", 0),
+    "issued_split": (r"""["'`](?P<v>(?:AKIA|ASIA|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|npm_|vlt\.|hvs\.|eyJ)[\w.-]*)["'`](?P<more>(?:\s*[+,.]?\s*["'`][\w.-]+["'`])+)""", 0),
     "named": (rf"""{_NAMES}(?P<rest>[\w$]{{0,24}})["'\]]{{0,2}}[ \t]*(?::[ \t]*[&\w'<>\[\] .*?]{{1,40}}?[ \t]*)?(?:=>|:=|=|:)\s*(?:[\w.!]{{0,24}}\(\s*)?[brfu&@$]{{0,2}}{_Q}{_MORE}""", re.I),
-    "fallback": (rf"""{_NAMES}(?P<rest>\w{{0,24}})["'`\])]{{1,3}}\s*(?:,|\|\||\?\?|\bor\b)\s*{_Q}""", re.I),
+    "fallback": (rf"""{_NAMES}(?P<rest>\w{{0,24}})(?:["'`\])]{{1,3}}\s*,|["'`\])]{{0,3}}\s*(?:\|\||\?\?|\bor\b))\s*{_Q}""", re.I),
     "url_login": (r"""[a-z][a-z0-9+.-]*://[^\s:/@"'`]*:(?P<v>[^\s/"'`]+)@[A-Za-z0-9\[]""", re.I),
     "url_query": (r"""[?&;](?:access_?token|auth|auth_?token|sig|signature|key|api_?key|token|secret|password|pwd|pass|x-amz-signature|x-amz-security-token|client_secret)=(?P<v>[^\s&"'`;#<>]+)""", re.I),
     "pair": (r"""(?<![\w?&])(?:\w*password|\w*passwd|pwd|pass|secret|api_?key)[ \t]*[=:][ \t]*(?P<v>[^\s"'`;,&(){}\[\]<>]\S*?)(?=[;"'`]|\s|$)""", re.I | re.M),
@@ -72,6 +73,8 @@ def is_credential(kind: str, value: str, match: re.Match | None = None) -> bool:
     if kind in ("key_block", "issued"):
         return not re.search(r"(?i)example|x{6,}|0{8,}|\*{3,}", value)
     v = value.strip()
+    if kind == "issued_split":
+        return bool(re.match(_ISSUED, v)) and is_credential("issued", v)
     if len(v) < 5 or _STANDIN.match(v) or re.search(r"\s", v) or "****" in v:
         return False
     if re.match(r"(?i)^(?:ssh-|data:|sha\d+-|-----BEGIN|[a-z]+://|\$\{|\$\(|process\.|os\.|env\.|env\(|std::|System\.)", v):
@@ -101,7 +104,7 @@ def find_values(text: str, only: set[str] | None = None) -> tuple[list[tuple[int
             continue
         for m in rx.finditer(text):
             value, pieces = m.group("v"), [m.span("v")]
-            if kind == "named" and m.group("more"):
+            if kind in ("named", "issued_split") and m.group("more"):
                 at = m.start("more")
                 for p in re.finditer(r"""["'`]((?:[^"'`\\\n]|\\.)*)["'`]""", m.group("more")):
                     value += p.group(1)

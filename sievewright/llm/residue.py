@@ -160,24 +160,27 @@ def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_counts(documents: DataFrame, host: str = "repo") -> DataFrame:
-    """(host, line_hash, docs): in how many documents of a host a normalised line stands."""
+    """(host, line_hash, docs, texts): in how many documents of a host a normalised line stands.
+
+    ``texts`` is 1 if all of them are copies of one text, else 2.
+    """
     lines = F.filter(F.transform(F.split("text", "\n"), normal_column), lambda x: x != "")
     hashes = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
     return (
         documents.where("text is not null")
-        .select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(hashes).alias("line_hash"))
-        .groupBy("host", "line_hash").agg(F.count("*").alias("docs"))
+        .select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64("text").alias("th"), F.explode(hashes).alias("line_hash"))
+        .groupBy("host", "line_hash").agg(F.count("*").alias("docs"), F.when(F.min("th") == F.max("th"), 1).otherwise(2).alias("texts"))
     )
 
 
 def judged(documents: DataFrame, host: str = "repo", recurrent: int = 3, content_share: float = 0.25) -> DataFrame:
     """(doc_id, placeholder, evidence, content, is_case) of the documents that carry evidence.
 
-    A line recurs if at least ``recurrent`` documents of its host have it. A document without a
+    A line recurs if at least ``recurrent`` documents of its host have it that are not all copies of one text. A document without a
     placeholder is a case if its residual content weighs at most ``content_share`` of its evidence.
     """
     base = documents.select("doc_id", "text", F.coalesce(F.col(host), F.lit("")).alias("host")).where("doc_id is not null")
-    often = line_counts(documents, host).where(F.col("docs") >= recurrent)
+    often = line_counts(documents, host).where((F.col("docs") >= recurrent) & (F.col("texts") > 1)).select("host", "line_hash", "docs")
     lines = base.select("doc_id", "host", "text").mapInArrow(
         _read_rows, "doc_id bigint, host string, placeholder boolean, line string, kind string, weight bigint"
     ).distinct()
