@@ -48,12 +48,26 @@ DETECTORS: dict[str, tuple[str, int]] = {
     "url_query": (r"""[?&;](?:access_?token|auth|auth_?token|sig|signature|key|api_?key|token|secret|password|pwd|pass|x-amz-signature|x-amz-security-token|client_secret)=(?P<v>[^\s&"'`;#<>]+)""", re.I),
     "pair": (r"""(?<![\w?&])(?:\w*password|\w*passwd|pwd|pass|secret|api_?key)[ \t]*[=:][ \t]*(?P<v>[^\s"'`;,&(){}\[\]<>]\S*?)(?=[;"'`]|\s|$)""", re.I | re.M),
     "header": (r"""\b(?:bearer|basic|token)[ \t]+(?P<v>[A-Za-z0-9+/_.~=-]{12,})""", re.I),
-    "login_call": (rf"""\b(?:\w*log_?in|sign_?[io]n|logon|authenticate|open_?session|set_?credentials?|connect_?as)\w*!?\(\s*["'`][^"'`\n]*["'`]\s*,\s*{_Q}""", re.I),
+    "login_call": (rf"""\b(?:\w*(?:login|log_in)|signin|sign_in|signon|sign_on|logon|authenticate|opensession|open_session|setcredentials?|set_credentials?|connectas|connect_as)\w*!?\(\s*["'`][^"'`\n]*["'`]\s*,\s*{_Q}""", re.I),
     "note_sign_in": (r"""\b(?:sign|log)[ \t]?in[ \t]+as[ \t]+\S+[ \t]+with[ \t]+(?P<v>\S+)""", re.I),
     "note_old_login": (r"""\blogin:?[ \t]+[\w.@-]+[ \t]+/[ \t]+(?P<v>\S+)""", re.I),
     "note_curl": (r"""\bcurl\b[^\n"'`]*?[ \t](?:-u|--user)[ \t]*[\w.@-]+:(?P<v>\S+)""", re.I),
 }
 _COMPILED = {k: re.compile(p, f) for k, (p, f) in DETECTORS.items()}
+#: Where a detector that begins with a name can begin, looked for in lower case, which is faster than without regard to case.
+_NAMED = re.compile(f"(?={_NAMES})")
+
+
+def _matches(kind: str, text: str, at_names: list[int] | None) -> Iterator[re.Match]:
+    if kind not in ("named", "fallback") or at_names is None:
+        yield from _COMPILED[kind].finditer(text)
+        return
+    end, match = 0, _COMPILED[kind].match
+    for at in at_names:
+        if at >= end and (m := match(text, at)):
+            end = m.end()
+            yield m
+
 
 #: Words of values that stand in for a credential, and of names whose value is none.
 _STANDIN = re.compile(
@@ -99,10 +113,12 @@ def is_credential(kind: str, value: str, match: re.Match | None = None) -> bool:
 def find_values(text: str, only: set[str] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Spans of values where they begin, and of all their pieces."""
     spans: list[tuple[int, int, bool]] = []
-    for kind, rx in _COMPILED.items():
+    low = text.lower()
+    at_names = [m.start() for m in _NAMED.finditer(low)] if len(low) == len(text) and (only is None or only & {"named", "fallback"}) else None
+    for kind in _COMPILED:
         if only is not None and kind not in only:
             continue
-        for m in rx.finditer(text):
+        for m in _matches(kind, text, at_names):
             value, pieces = m.group("v"), [m.span("v")]
             if kind in ("named", "issued_split") and m.group("more"):
                 at = m.start("more")
@@ -197,12 +213,35 @@ def postings(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, codes[at]
 
 
-@lru_cache(maxsize=65536)
-def candidates(present: frozenset) -> frozenset:
-    """The detectors whose queries the postings (trigram codes) of a chunk satisfy."""
+def alternatives(query: tuple | None, bit: dict[str, int]) -> list[int]:
+    """A query as the sets of trigrams (bits) of which one has to be held whole."""
+    if query is None:
+        return [0]
+    if query[0] == "gram":
+        return [bit[query[1]]]
+    parts = [alternatives(q, bit) for q in query[1]]
+    if query[0] == "or":
+        return sorted({m for p in parts for m in p})
+    out = [0]
+    for p in parts:
+        out = sorted({m | n for m in out for n in p})
+    return out
+
+
+@lru_cache(maxsize=1)
+def _bits() -> tuple[dict[int, int], list[tuple[str, list[int]]]]:
     queries, _, names = _index()
-    held = {names[c] for c in present}
-    return frozenset(k for k, q in queries.items() if holds(q, held))
+    bit = {g: 1 << k for k, g in enumerate(names.values())}
+    return {c: bit[g] for c, g in names.items()}, [(k, alternatives(q, bit)) for k, q in queries.items()]
+
+
+def candidates(codes: list[int]) -> set[str]:
+    """The detectors whose queries the postings (trigram codes) of a chunk satisfy."""
+    bit, kinds = _bits()
+    held = 0
+    for c in set(codes):
+        held |= bit[c]
+    return {k for k, sets in kinds if any(held & m == m for m in sets)}
 
 
 def chunk_starts(text: str, size: int) -> list[int]:
@@ -233,7 +272,7 @@ def scan_text(text: str | None, size: int = 400) -> tuple[list[int], str | None]
         for _ in range(2):
             hi = (text.find("\n", hi) + 1) or len(text)
         a, b = np.searchsorted(at, (lo, hi))
-        which = candidates(frozenset(codes[a:b].tolist()))
+        which = candidates(codes[a:b].tolist())
         if which:
             piece = text[lo:hi]
             begin, spans = find_values(piece, which)
