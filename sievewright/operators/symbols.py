@@ -274,7 +274,7 @@ def name_edges(symbol_rows: DataFrame, refs: DataFrame, by: str | None = None) -
     return joined.where("from_id <> to_id").groupBy("from_id", "to_id").agg(F.sum("m").alias("m"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, cut_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, cut_every: int = 10) -> DataFrame:
     """(sym_id, rank) after exactly ``rounds`` synchronous rounds from 1/N.
 
     The base is (1 - d)/N over all nodes; an edge carries d * rank * m / out-degree with parallel

@@ -21,7 +21,7 @@ def make_map(files: DataFrame, max_tokens: int = 1024, focus: list[str] | None =
     """The most important symbols of a repository within a budget; ``style`` None gives the table."""
     if style == "sarif":
         raise ValueError("a map has no SARIF form")
-    found = symbols.identified(symbols.symbols(symbols.readable(files)))
+    found = checkpointed(symbols.identified(symbols.symbols(symbols.readable(files))).drop("content"))
     edges = symbols.name_edges(found, symbols.references(symbols.readable(files)))
     ranked = found.join(symbols.pagerank(found, edges), "sym_id")
     picked = symbols.fit_budget(symbols.focused(ranked, focus or []), max_tokens)

@@ -11,7 +11,7 @@ from ..functions import scores, text
 from ..operators import diffs, findings, history, retrieval, state, symbols
 from ..session import ship
 from ..sources import sinks
-from .lineage import numbered
+from .lineage import checkpointed, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -434,7 +434,7 @@ def source_chunks(spark: SparkSession, d: str) -> DataFrame:
 def repo_map(spark: SparkSession, d: str) -> DataFrame:
     ready = symbols.readable(_sources(spark, d), "key")
     repo = F.substring_index("path", ":", 1)
-    found = symbols.identified(symbols.symbols(ready)).withColumn("repo", repo)
+    found = checkpointed(symbols.identified(symbols.symbols(ready)).drop("content").withColumn("repo", repo))
     edges = symbols.name_edges(found, symbols.references(ready).withColumn("repo", repo), "repo")
     ranked = symbols.focused(found.join(symbols.pagerank(found, edges), "sym_id"), [])
     picked = symbols.fit_budget(ranked.withColumn("order_rank", F.round("order_rank", 15)), 1024, ["repo"])
