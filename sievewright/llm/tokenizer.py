@@ -7,11 +7,11 @@ that BPE produces, and its state after a token depends on that token alone. The
 |V| squared entries, so its rows are compiled on demand: whether the arc b leaves the state after a
 follows from the gadgets that made a and b, latest first (``allowed``), and is kept.
 
-A word is encoded by following the one path of arcs that spells it. At every byte the arcs that
-end there come from a byte trie; exactly one of them leaves the state that the path to its start
-is in, so one pass from left to right decides all states, and the labels are emitted backwards.
-Time is linear in the word for a bounded token length, however long the word. Texts are split into
-words before; a word met again costs one look-up in a table with a fixed bound.
+A word is encoded by following the one path of arcs that spells it, the longest arc first at every
+byte. The automaton is deterministic in this sense too: a byte can be reached by one path only, the
+encoding of what lies before it, so a byte from which no arc led on is never tried again, and time
+is linear in the word for a bounded token length, however long the word. Texts are split into words
+before; a word met again costs one look-up in a table with a fixed bound.
 
 Defined results: null and empty texts give an empty list; strings that look like special tokens
 are ordinary text; invalid surrogates count as U+FFFD; every text is encoded whole.
@@ -94,26 +94,14 @@ class Automaton:
             self.gadget.setdefault((a, b), k)
             if self.birth[made] < 0:
                 self.left[made], self.right[made], self.birth[made] = a, b, k
+        self.rows: dict[int, bool] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        # a token that its own merge can never make (earlier gadgets cut its halves apart) labels no arc
         self.ids: dict[bytes, int] = {}
         for i, t in enumerate(tokens):
-            if t and (len(t) == 1 or self.birth[i] >= 0):
+            if t and (len(t) == 1 or self.birth[i] >= 0 and self._uncut(self.left[i], self.right[i], self.birth[i])):
                 self.ids.setdefault(t, i)
-        # the trie of reversed tokens: node -> {byte: node}, and the token that ends at a node
-        self.step: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for t, i in self.ids.items():
-            node = 0
-            for c in reversed(t):
-                nxt = self.step[node].get(c)
-                if nxt is None:
-                    nxt = len(self.step)
-                    self.step[node][c] = nxt
-                    self.step.append({})
-                    self.ends.append(-1)
-                node = nxt
-            self.ends[node] = i
-        self.rows: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.longest = max(map(len, self.ids), default=1)
 
     def allowed(self, a: int, b: int) -> bool:
         """Whether the arc b leaves the state after a: no gadget applied before both were made cuts it.
@@ -124,57 +112,55 @@ class Automaton:
         """
         key = a * len(self.tokens) + b
         known = self.rows.get(key)
-        if known is not None:
-            return known
-        until, ok = FOREVER, True
+        if known is None:
+            if len(self.rows) > 4 * TABLE:
+                self.rows.clear()
+            known = self.rows[key] = self._uncut(a, b, FOREVER)
+        return known
+
+    def _uncut(self, a: int, b: int, until: int) -> bool:
         birth, gadget = self.birth, self.gadget
         while True:
             at = gadget.get((a, b))
             if at is not None and at < until:
-                ok = False
-                break
+                return False
             x, y = birth[a], birth[b]
             if x < 0 and y < 0:
-                break
+                return True
             if x > y:
                 until, a = x, self.right[a]
             else:
                 until, b = y + 1, self.left[b]
-        if len(self.rows) > 4 * TABLE:
-            self.rows.clear()
-        self.rows[key] = ok
-        return ok
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """The labels of the path that spells a word."""
-        whole = self.ids.get(word)
+        ids = self.ids
+        whole = ids.get(word)
         if whole is not None:
             return (whole,)
-        n = len(word)
-        state, start = [-1] * (n + 1), [0] * (n + 1)
-        step, ends, allowed = self.step, self.ends, self.allowed
-        for end in range(1, n + 1):
-            node, at, found = 0, end, []
-            while at:
-                node = step[node].get(word[at - 1])
-                if node is None:
-                    break
-                at -= 1
-                if ends[node] >= 0:
-                    found.append((at, ends[node]))
-            for at, token in reversed(found):  # longer arcs first: most often the right ones
-                if at == 0 or allowed(state[at], token):
-                    if at or self._whole(word[:end], token):
-                        state[end], start[end] = token, at
+        n, most, allowed = len(word), self.longest, self.allowed
+        path: list[int] = []
+        ends: list[int] = []
+        dead: set[int] = set()
+        at, prev, end = 0, -1, min(n, most)
+        while at < n:
+            while end > at:
+                if end not in dead:
+                    token = ids.get(word[at:end])
+                    if token is not None and (prev < 0 or allowed(prev, token)):
                         break
-        out, at = [], n
-        while at:
-            out.append(state[at])
-            at = start[at]
-        return tuple(reversed(out))
-
-    def _whole(self, piece: bytes, token: int) -> bool:
-        return self.tokens[token] == piece
+                end -= 1
+            else:  # no arc leads on from here: the last arc was not the one
+                dead.add(at)
+                path.pop()
+                end = ends.pop() - 1
+                at = ends[-1] if ends else 0
+                prev = path[-1] if path else -1
+                continue
+            path.append(token)
+            ends.append(end)
+            at, prev, end = end, token, min(n, end + most)
+        return tuple(path)
 
     def encode_words(self, words: list[str]) -> list[int]:
         out: list[int] = []
