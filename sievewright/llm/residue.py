@@ -47,8 +47,13 @@ ERROR = re.compile(
     |\{"(?:message|error|status|code)":|<html>.*<title>\s*\d{3}\b|<title>\s*\d{3}\b
     |reload\ (?:the\ page|afterwards)|check\ the\ (?:link|address)|try\ again\ (?:in|later)|if\ (?:this\ keeps\ happening|nothing\ happens)|our\ team\ has\ been\ notified|request\ (?:id:?\ )?[0-9a-f]{8,}$|trace:?\ [0-9a-f]{8,}$
     |[\w.-]+/\d+(?:\.\d+)+$|loading\ [\w\s]{0,30}(?:\.\.\.|…)$|hi\ undefined\b|view\ it\ at\ \S*/(?:undefined|null)/|summary\ of\ (?:none|null|undefined)$|[\w ]{1,20}:\ (?:none|null|undefined|nan)$|(?:null|undefined|none)\s\w+\s\w+\s(?:null|undefined|none|nan)\b
-    )|\[object\ Object\]|\bNaN:NaN\b"""
+    )"""
 )
+#: What a failed rendering leaves anywhere in a line.
+FAILED = ("[object Object]", "NaN:NaN")
+#: What every placeholder has one of, and what every line about scripts has one of in lower case.
+_HINT = re.compile(r"[{%<$#@«\[]|TODO|_PLACEHOLDER__")
+_SCRIPT_HINTS = ("script", "js", "ｊｓ")
 #: Words about scripts and about having to allow them, in the corpus's languages.
 _SCRIPTS = re.compile(r"(?i)\b(?:javascript|scripts?|scripting)\b|\bJS\b|ＪＳ|<noscript>|cookies and scripts")
 _ALLOW = re.compile(
@@ -70,28 +75,33 @@ _ONE = re.compile(r"^([^\W\d_])\1{14,}$")
 COMMON = frozenset(
     "the a an is are was be to of and or in on for with that this it we you not no if by as at from has have its but can will must may should now after before so when each any all der die das ist und ein eine den dem nicht von zu mit wird für auf im le la les un une est et de des du pas qui que pour dans el los las y en con no se es por una cuando está".split()
 )
+_CODE_SPAN = re.compile(r"`[^`]*`")
 _HEADING = re.compile(r"^(?:#{1,6}\s.*|\*\*[^*]{1,60}\*\*:?|[^.!?]{1,40}:|[-=*_]{3,}|\W*)$")
 _MENU = re.compile(r"^[^.!?。]{1,80}(?:\s[|·>»]\s[^.!?。]{1,60})+$")
 
 
+_PLAIN = re.compile(r"[^_`(){}<>=;/\\\d]*$")
+
+
 def mock_filler(line: str) -> bool:
     """Whether a line is words without sense: few of them over and over, none of them common."""
-    words = re.findall(r"[^\W\d_]+", line.lower())
-    if len(words) < 12 or re.search(r"[_`(){}<>=;/\\]|\d", line):
+    if len(line) < 35 or not _PLAIN.match(line):
         return False
+    words = re.findall(r"[^\W\d_]+", line.lower())
     kinds = set(words)
-    return len(kinds) <= 0.75 * len(words) and len(kinds) <= 60 and not COMMON.intersection(kinds)
+    return len(words) >= 12 and len(kinds) <= 0.75 * len(words) and len(kinds) <= 60 and not COMMON.intersection(kinds)
 
 
 def evidence(line: str) -> str | None:
     """What a line outside of code shows: 'error', 'script', 'form', 'filler' or None."""
     if FORM.match(line):
         return "form"
-    if ERROR.search(line):
+    if ERROR.match(line) or any(f in line for f in FAILED):
         return "error"
-    if _BROWSER.match(line) or _SCRIPTS.search(line) and _ALLOW.search(line):
+    low = line.lower()
+    if any(h in low for h in _SCRIPT_HINTS) and _SCRIPTS.search(line) and _ALLOW.search(line) or _BROWSER.match(line):
         return "script"
-    if _REPEAT.match(line) and len(line) >= 24 or _KEYS.match(line) or _ONE.match(line) or mock_filler(line):
+    if len(line) >= 24 and _REPEAT.match(line) or _KEYS.match(line) or _ONE.match(line) or mock_filler(line):
         return "filler"
     return None
 
@@ -128,8 +138,8 @@ def read(text: str | None) -> tuple[bool, list[tuple[str, str, int]]]:
         return False, []
     rows, placeholder, any_evidence = [], False, False
     for line in prose_lines(text):
-        bare = re.sub(r"`[^`]*`", "`x`", line)
-        if PLACEHOLDER.search(bare):
+        bare = _CODE_SPAN.sub("`x`", line) if "`" in line else line
+        if not placeholder and _HINT.search(bare) and PLACEHOLDER.search(bare):
             placeholder = True
         kind = evidence(bare)
         if kind:
