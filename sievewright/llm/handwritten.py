@@ -76,9 +76,8 @@ def canonical(tokens: list[tuple[str, str, int]]) -> list[str]:
     return lines
 
 
-def layout(text: str, lang: str) -> str | None:
-    """What the layout shows: 'minified', 'data', 'generated' or None."""
-    tokens, left = scan(text, lang)
+def layout(text: str, tokens: list[tuple[str, str, int]], left: str) -> str | None:
+    """What the layout of a lexed text shows: 'minified', 'data', 'generated' or None."""
     code = sum(len(t) for k, t, _ in tokens if k not in ("com", "nl"))
     if code < 120:
         return None
@@ -97,10 +96,9 @@ def layout(text: str, lang: str) -> str | None:
     return None
 
 
-def opening(text: str, lang: str) -> str:
+def opening(tokens: list[tuple[str, str, int]]) -> str:
     """The comments before the first code token, one after the other."""
     out = []
-    tokens, _ = scan(text[:8192], lang)  # comments at the top; the rest of the text is judged by its layout
     for kind, tok, _ in tokens:
         if kind == "com":
             out.append(tok)
@@ -126,13 +124,14 @@ def by_text(text: str | None, lang: str | None, top: bool = True) -> str | None:
     if not text or lang is None:
         return None
     text = text.replace("\r\n", "\n")
+    tokens, left = scan(text, lang)
     if top:
-        head = opening(text, lang)
+        head = opening(tokens)
         if DECLARES.search(head):
             return "declared"
         if BANNER.search(head):
             return "vendored"
-    return layout(text, lang)
+    return layout(text, tokens, left)
 
 
 def _source_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
