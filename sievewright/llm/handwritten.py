@@ -85,7 +85,7 @@ def layout(text: str, tokens: list[tuple[str, str, int]], left: str) -> str | No
     longest = max(map(len, kept))
     made = canonical(tokens)
     named = sum(len(t) for k, t, _ in tokens if k in ("id", "special", "bad", "conflict") or k == "op" and t not in (",", ":", "=", "-", ";"))
-    if not left and named <= 0.08 * code:
+    if not left and named <= 0.08 * code and "-----BEGIN " not in text:
         return "data"
     if longest >= 200 and len(made) >= 3 * len(kept) and code >= 0.85 * len("".join(kept).replace(" ", "")) * 0.9:
         return "minified"
