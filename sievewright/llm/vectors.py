@@ -142,18 +142,23 @@ def _search(bits: int, width: int, k: int, least: int, most: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = 5, width: int = 64, trees: int = 8, bits: int = 48, least: int = 192, most: int = 4096, seed: int = 17) -> DataFrame:
-    """(id, other, sim, place): the k most similar others of every row of ``vectors`` (id, vec)."""
+def neighbours(vectors: DataFrame, k: int = 5, width: int = 64, trees: int = 12, bits: int = 48, least: int | None = None, most: int = 4096, seed: int = 17) -> DataFrame:
+    """(id, other, sim, place): the k most similar others of every row of ``vectors`` (id, vec).
+
+    ``least`` is how many vectors a node has to hold before it is compared; by default twice the
+    square root of their number, at least 256, so that recall holds as the collection grows.
+    """
     points = cut(
         vectors.groupBy("vec").agg(F.min("id").alias("point"), F.count("*").alias("copies"))
         .select("point", "vec", "copies")
     )
     same = vectors.join(points.where("copies > 1").select("vec", "point"), "vec").select("id", "point")
-    mean_of = points.agg(*[F.avg(F.get("vec", F.lit(i))).alias(f"m{i}") for i in range(width)]).first()
-    if mean_of[0] is None:
+    mean_of = points.agg(*[F.avg(F.get("vec", F.lit(i))).alias(f"m{i}") for i in range(width)], F.count("*").alias("n")).first()
+    if not mean_of["n"]:
         return vectors.sparkSession.createDataFrame([], "id bigint, other bigint, sim double, place int")
     norm = points.agg(F.avg(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))))).first()[0]
-    mean = np.array(mean_of, dtype=np.float64) / norm
+    mean = np.array(mean_of[:width], dtype=np.float64) / norm
+    least = least or max(256, int(2 * mean_of["n"] ** 0.5))
     hashed = points.select("point", "vec").mapInArrow(
         _hash_rows(trees, bits, width, mean, seed), "point bigint, tree int, code bigint, vec array<float>"
     )
