@@ -8,7 +8,7 @@ exact cosine. The best k of all trees are its neighbours.
 
 Hot spots: contents with the very same vector are one point of the forest and are resolved
 exactly afterwards (similarity 1, smallest ids first). A node that stays larger than ``most`` at
-full hash length is compared within sliding stretches of the sorted array.
+full hash length gets longer strings of its own.
 
 Index, queries and sample: every vector is indexed and every vector is a query; the directions
 need no fitting beyond the mean vector, which is an average over all rows. Recall against brute
@@ -70,18 +70,28 @@ def _hash_rows(trees: int, bits: int, width: int, mean: np.ndarray, seed: int):
     return run
 
 
+#: Rows and columns of one block of similarities, so a task holds 32 MB of them at most.
+ROWS, COLUMNS = 512, 8192
+
+
 def _best(x: np.ndarray, rows: np.ndarray, lo: int, hi: int, k: int, ids: np.ndarray, out_i: np.ndarray, out_s: np.ndarray) -> None:
     """Exact cosines of ``rows`` against lo..hi, keeping the best k of each."""
-    for at in range(0, len(rows), 512):
-        r = rows[at:at + 512]
-        s = x[r] @ x[lo:hi].T
-        s[np.arange(len(r)), r - lo] = -np.inf
-        kk = min(k, hi - lo - 1)
-        if kk < 1:
-            continue
-        top = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
-        out_i[r, :kk] = ids[lo + top]
-        out_s[r, :kk] = np.take_along_axis(s, top, axis=1)
+    for at in range(0, len(rows), ROWS):
+        r = rows[at:at + ROWS]
+        top_i, top_s = out_i[r], out_s[r]
+        for left in range(lo, hi, COLUMNS):
+            right = min(left + COLUMNS, hi)
+            s = x[r] @ x[left:right].T
+            own = np.flatnonzero((r >= left) & (r < right))
+            s[own, r[own] - left] = -np.inf
+            kk = min(k, right - left)
+            top = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
+            got = np.take_along_axis(s, top, axis=1)
+            both_i = np.concatenate([top_i, np.where(np.isfinite(got), ids[left + top], -1)], axis=1)
+            both_s = np.concatenate([top_s, got], axis=1)
+            order = np.argsort(-both_s, axis=1, kind="stable")[:, :k]
+            top_i, top_s = np.take_along_axis(both_i, order, axis=1), np.take_along_axis(both_s, order, axis=1)
+        out_i[r], out_s[r] = top_i, top_s
 
 
 def _ascend(code: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +112,40 @@ def _ascend(code: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.nda
     return lo, hi
 
 
+def _node(x: np.ndarray, ids: np.ndarray, code: np.ndarray, bits: int, k: int, least: int, most: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of every row of a sorted stretch of a tree, each from its own node.
+
+    A node is compared whole. One that many rows share although it is larger than ``most`` (their
+    hash strings are equal to the end) gets longer strings: signs around its own mean, again sorted
+    and ascended. Only rows that no direction tells apart are compared within stretches of the array.
+    """
+    n = len(x)
+    out_i, out_s = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf)
+    lo, hi = _ascend(code, bits, least)
+    key = lo * (n + 1) + hi
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+    for a, b in zip(cuts, np.r_[cuts[1:], n]):
+        rows = np.sort(order[a:b])
+        left, right = int(lo[rows[0]]), int(hi[rows[0]])
+        if right - left <= most or len(rows) <= 4 * least:
+            _best(x, rows, left, right, k, ids, out_i, out_s)
+        elif depth < 3:
+            part = x[left:right]
+            planes = np.random.default_rng(1000 + depth).standard_normal((x.shape[1], bits))
+            place = np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64)
+            longer = ((part - part.mean(axis=0)) @ planes > 0) @ place
+            again = np.argsort(longer, kind="stable")
+            got_i, got_s = _node(part[again], ids[left:right][again], longer[again], bits, k, least, most, depth + 1)
+            back = np.argsort(again)[rows - left]
+            out_i[rows], out_s[rows] = got_i[back], got_s[back]
+        else:
+            for s in range(0, len(rows), least):
+                r = rows[s:s + least]
+                _best(x, r, max(left, int(r[0]) - most // 2), min(right, int(r[-1]) + 1 + most // 2), k, ids, out_i, out_s)
+    return out_i, out_s
+
+
 def _search(bits: int, width: int, k: int, least: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -116,26 +160,11 @@ def _search(bits: int, width: int, k: int, least: int, most: int):
         for one in np.unique(tree):
             at = np.flatnonzero(tree == one)
             at = at[np.argsort(code[at], kind="stable")]
-            xs, own = x[at], ids[at]
-            n = len(at)
-            out_i, out_s = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf)
-            lo, hi = _ascend(code[at], bits, least)
-            key = lo * (n + 1) + hi
-            order = np.argsort(key, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-            for a, b in zip(cuts, np.r_[cuts[1:], n]):
-                rows = np.sort(order[a:b])
-                left, right = int(lo[rows[0]]), int(hi[rows[0]])
-                if right - left <= most:
-                    _best(xs, rows, left, right, k, own, out_i, out_s)
-                else:
-                    for s in range(0, len(rows), least):
-                        r = rows[s:s + least]
-                        _best(xs, r, max(left, int(r[0]) - most // 2), min(right, int(r[-1]) + 1 + most // 2), k, own, out_i, out_s)
+            out_i, out_s = _node(x[at], ids[at], code[at], bits, k, least, most)
             good = out_i >= 0
             sizes = np.r_[0, np.cumsum(good.sum(axis=1))].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.ListArray.from_arrays(sizes, pa.array(out_i[good])), pa.ListArray.from_arrays(sizes, pa.array(out_s[good]))],
+                [pa.array(ids[at]), pa.ListArray.from_arrays(sizes, pa.array(out_i[good])), pa.ListArray.from_arrays(sizes, pa.array(out_s[good]))],
                 ["point", "ids", "sims"],
             )
 

@@ -151,6 +151,20 @@ def test_p3_equal_vectors_and_edges(spark):
     assert vectors.neighbours(vectors.contents(spark.createDataFrame([rows[0]], CHUNK))).count() == 0
 
 
+def test_p3_hot_node():
+    """Thousands of vectors with the same hash string: longer strings tell them apart."""
+    rng = np.random.default_rng(2)
+    spread = rng.standard_normal((300, 64))
+    x = 5 * rng.standard_normal(64) + 1e-3 * (spread[rng.integers(0, 300, 6000)] + 0.2 * rng.standard_normal((6000, 64)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got_i, got_s = vectors._node(x, np.arange(6000), np.zeros(6000, np.uint64), 48, 5, 64, 512)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    best = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(best.tolist(), got_i.tolist())]) > 0.5  # one tree alone
+    assert np.isfinite(got_s).all() and (np.diff(got_s, axis=1) <= 1e-12).all()
+
+
 def test_p3_ascent():
     code = np.sort(np.random.default_rng(1).integers(0, 2**20, 500)).astype(np.uint64)
     lo, hi = vectors._ascend(code, 20, 20)
