@@ -45,6 +45,13 @@ def rating(verdict: str | Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), low), F.lit(0))
 
 
+def rated(spark: SparkSession, verdicts: list[tuple[str, str, str | None]], seq: int) -> DataFrame:
+    """Feedback rows of (comment_id, verdict, comment), numbered from ``seq``: what an interactive round adds."""
+    rows = [(c, v, note, seq + i) for i, (c, v, note) in enumerate(verdicts)]
+    df = spark.createDataFrame(rows, "comment_id string, verdict string, comment string, seq bigint")
+    return df.select("comment_id", rating("verdict").alias("rating"), "comment", "seq", F.current_timestamp().alias("ts"))
+
+
 def feedback_counts(feedback: DataFrame, *by: str) -> DataFrame:
     return feedback.groupBy(*by).agg(F.count_if(F.col("rating") > 0).alias("positive"), F.count_if(F.col("rating") < 0).alias("negative"))
 
@@ -88,6 +95,10 @@ class IndexStore:
         finally:
             stream.close()
 
+    def size(self) -> int:
+        """Bytes of all versions."""
+        return int(self._fs.getContentSummary(self._path(self.root)).getLength())
+
     def read(self, name: str) -> DataFrame:
         at = self.version(name)
         if at is None:

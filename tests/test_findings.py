@@ -147,6 +147,8 @@ def test_state(spark, tmp_path):
     assert state.feedback_counts(store.read("feedback")).first() == (0, 1)
     store.upsert("feedback", row(1, 2), ["comment_id"], "seq")
     assert state.feedback_counts(store.read("feedback")).first() == (1, 0) and state.newest_negative(store.read("feedback")).count() == 0
+    store.upsert("feedback", state.rated(spark, [("c2", "not_useful", "why"), ("c3", "skip", None)], 3), ["comment_id"], "seq")
+    assert [r.comment_id for r in state.newest_negative(store.read("feedback")).collect()] == ["c2"] and store.size() > 0
     store.upsert("files", spark.createDataFrame([("a", "h", 1), ("b", "h", 1)], state.TABLES["files"]), ["path"], "indexed_at")
     store.delete_paths("files", spark.createDataFrame([("a",)], "p string"), "path")
     assert [r.path for r in store.read("files").collect()] == ["b"]
@@ -171,3 +173,12 @@ def test_settings_and_events(spark, tmp_path):
 def test_severities(spark):
     df = spark.createDataFrame([("BUG",), ("info",), ("x",), (None,)], "s string")
     assert [r[0] for r in df.select(scores.severity_rank("s")).collect()] == [0, 3, None, None]
+
+
+def test_vector_bytes(spark):
+    from sievewright.functions.vectors import bytes_to_vector, vector_to_bytes
+
+    df = spark.createDataFrame([([1.0, -2.5],), ([],), (None,)], "v array<float>")
+    back = [r[0] for r in df.select(bytes_to_vector(vector_to_bytes("v"))).collect()]
+    assert back == [[1.0, -2.5], [], None]
+    assert spark.sql("select X'0000803f00' as b").select(bytes_to_vector("b")).first()[0] == [1.0]
