@@ -44,7 +44,7 @@ _OPENS = {
 }
 _COMMENT = {"python": r"#[^\n]*", "ruby": r"#[^\n]*"}
 _STRINGS = {
-    "python": rf"[rRbBfFuU]{{0,2}}(?:{_STR}|{_CHR})", "ruby": r"(?!)", "rust": r"b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'",
+    "python": rf"[rRbBfFuU]{{0,2}}(?:{_STR}|{_CHR})", "ruby": r"%[wWiIqQrxs][\[({<|!](?:[^\])}>|!\\]|\\.)*[\])}>|!]", "rust": r"b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'",
     "c": f"{_STR}|{_CHR}", "java": f"{_STR}|{_CHR}", "javascript": f"{_STR}|{_CHR}", "typescript": f"{_STR}|{_CHR}", "go": f"{_STR}|{_CHR}",
 }
 _SPECIAL = {
@@ -86,9 +86,34 @@ def _state_of(opener: str, lang: str) -> str:
     return "q:" + opener.lstrip("b") if lang == "rust" else "q:" + opener
 
 
-def _close(text: str, pos: int, state: str) -> tuple[int, str]:
+#: Languages and quotes whose strings hold code, and what opens it.
+_HOLES = {("ruby", '"'): "#{", ("ruby", "`"): "#{", ("javascript", "`"): "${", ("typescript", "`"): "${"}
+_INNER = re.compile(r"[{}]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
+
+
+def _past_hole(text: str, pos: int) -> int:
+    """Behind the brace that closes a hole that was opened right before ``pos``; -1 if none does."""
+    depth = 1
+    for m in _INNER.finditer(text, pos):
+        depth += {"{": 1, "}": -1}.get(m.group(), 0)
+        if depth == 0:
+            return m.end()
+    return -1
+
+
+def _close(text: str, pos: int, state: str, lang: str = "") -> tuple[int, str]:
     """Where the construct of ``state`` ends from ``pos`` on, and the state there."""
     kind, end = state[0], state[2:]
+    if kind == "q" and (hole := _HOLES.get((lang, end))):
+        at = pos
+        for m in iter(lambda: re.compile(rf"\\[\s\S]|{re.escape(end)}|{re.escape(hole)}").search(text, at), None):
+            if m.group() == end:
+                return m.end(), ""
+            at = m.end()
+            if m.group() == hole:
+                inside = _past_hole(text, at)
+                at = inside if inside > 0 else at
+        return len(text), state
     if kind == "e":
         at = text.find(end, pos)
         return (at + len(end), "") if at >= 0 else (len(text), state)
@@ -129,7 +154,7 @@ def scan(text: str, lang: str, state: str = "") -> tuple[list[tuple[str, str, in
     pos, n = 0, len(text)
     waiting: list[str] = []  # heredocs that begin at the next line
     if state:
-        end, left = _close(text, 0, state)
+        end, left = _close(text, 0, state, lang)
         out.append(("com" if state in ("e:*/", "l:=end") or state[0] == "n" else "str", text[:end], 0))
         if left:
             return out, left
@@ -160,7 +185,7 @@ def scan(text: str, lang: str, state: str = "") -> tuple[list[tuple[str, str, in
                 last, pos = out[-1], m.end()
                 continue
             inner = "l:=end" if kind == "special" else _state_of(tok, lang)
-            end, left = _close(text, m.end(), inner)
+            end, left = _close(text, m.end(), inner, lang)
             if lang == "java" and tok == '"""' and "\n" not in text[m.end():end]:
                 end, left = m.end() - 1, ""  # "" followed by a quote
             out.append(("com" if kind != "opens" else "str", text[pos:end], pos))

@@ -149,6 +149,20 @@ def test_chunks_give_the_same_verdict(lang):
         assert syntax.check_text(text + "\n(", lang, None, size) is not None
 
 
+@pytest.mark.parametrize("lang, text", [
+    ("ruby", 'x = "a#{h["k"]} b"\ny = 1\n'), ("javascript", "const a = `x ${f(`y ${b}`, '}')} z`;\nlet b = { if: 1, default: 2, class: 3 };\n"), ("javascript", "export default function App() {\n  return (<div className=\"a\">it's {x}</div>);\n}\n"),
+    ("typescript", "const f = <T>(x: T): T => x;\ntype A = { b?: string; c: number | null };\nenum E { X = 1, Y }\nabstract class Q<T> extends P<T> implements I { private x = 1; get y(): number { return this.x!; } }\n"),
+    ("javascript", "import a, { b as c } from 'x';\nexport * from 'y';\nasync function f() { for await (const x of y) { await g(x) } }\nclass A extends B { #p = 1; static s() {} get v() { return this.#p } }\nconst h = async ({ a, ...r }) => ({ ...r, a });\nlabel: for (;;) { break label }\n"),
+    ("go", "package x\n\nvar m = map[string][]int{\"a\": {1}}\n\nfunc f(a, b int, c ...string) (err error) {\n\tgo func() {\n\t\tch <- 1\n\t}()\n\tswitch v := a.(type) {\n\tcase int, string:\n\t\treturn nil\n\tdefault:\n\t}\n\tx := []struct{ a int }{{1}}\n\treturn\n}\n"),
+    ("rust", "impl<T: Clone + 'static> A<T> for B<T> where T: X {\n    fn f(&mut self, (a, b): (u8, u8)) -> Result<(), E> {\n        let v = vec![1, 2];\n        let c = |x: i32| x + 1;\n        if let Some(x) = y { return Err(e)?; }\n        loop { break 'a; }\n        Ok(())\n    }\n}\nmacro_rules! m { ($x:expr) => { $x }; }\n"),
+    ("java", "@Override\npublic class A<T extends B> implements C {\n  private final Map<String, List<T>> m = new HashMap<>();\n  enum E { X, Y; }\n  A(int... x) { this.m.forEach((k, v) -> { f(k); }); }\n  int g() { try { return h()[0]; } catch (Ex | Ey e) { throw new R(e); } finally { z(); } }\n  String t = \"\"\"\n   } \"x\" \n  \"\"\";\n}\n"),
+    ("c", "typedef struct { int a; char *b; } t;\nint main(int argc, char **argv) {\n  unsigned long x = sizeof(t) * 2;\n  t *p = (t *) malloc(x);\n  p->a = *argv[0] ? 1 : -1;\n  do { x--; } while (x > 0);\n  switch (x) { case 1: break; default: goto end; }\nend:\n  return p && !x;\n}\n"),
+    ("ruby", "class A < B\n  attr_reader :a, :b\n  CONST = %w[a b].freeze\n  def initialize(a:, b: nil, **o, &blk)\n    @a = a || 1\n    @b ||= { a: 1 }\n    while @a < 3 do @a += 1 end\n    case a\n    when 1, 2 then x\n    else y\n    end\n    begin\n      z!\n    rescue E => e\n      raise F, \"m\" unless e.ok?\n    ensure\n      w\n    end\n    a.map { |x| x * 2 }.each do |y|\n      puts y\n    end\n    return if a.nil?\n  end\nend\n"),
+])
+def test_more_valid_code(lang, text):
+    assert syntax.check_text(text, lang, None) is None
+
+
 def test_folding_is_associative():
     text = VALID["rust"] * 2
     maps = [syntax.state_map(c, "rust", False) for c in syntax.split_chunks(text, 30)]
