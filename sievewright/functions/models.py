@@ -108,13 +108,17 @@ def system_prompt(rules: list[tuple[str, str, str]] = (), negatives: list[str] =
     return out
 
 
+REFLECT = 'Score each comment from 1 to 10 by how sure and useful it is. Answer with JSON {"evaluations": [{"index", "score", "reason", "revised_severity"}]}.\n\n'
+DESCRIBE = 'Write a title, a description and labels for this change, as JSON {"title", "description", "labels"}.'
+
+
 def reflection_prompt(comments: list[tuple[int, str, int, str]], diff: str) -> str:
     listed = "".join(f"[{i}] {p}:{ln} {m}\n" for i, p, ln, m in comments)
-    return f'Score each comment from 1 to 10 by how sure and useful it is. Answer with JSON {{"evaluations": [{{"index", "score", "reason", "revised_severity"}}]}}.\n\n{listed}\n```diff\n{diff}\n```\n'
+    return f"{REFLECT}{listed}\n```diff\n{diff}\n```\n"
 
 
 def describe_prompt(diff: str, repo_map: str | None = None, history: str | None = None) -> str:
-    return section("Repository map", repo_map) + section("Change history", history) + f'Write a title, a description and labels for this change, as JSON {{"title", "description", "labels"}}.\n\n```diff\n{diff}\n```\n'
+    return section("Repository map", repo_map) + section("Change history", history) + f"{DESCRIBE}\n\n```diff\n{diff}\n```\n"
 
 
 DESCRIPTION = "title string, description string, labels array<string>"

@@ -75,15 +75,15 @@ def tagged(comments: DataFrame, rules: DataFrame) -> DataFrame:
     return comments.join(F.broadcast(few)).withColumn("rule", F.coalesce(F.try_element_at(hit, F.lit(1))["name"], F.col("rule"))).drop("_rules")
 
 
-def deduplicated(comments: DataFrame) -> DataFrame:
-    """One comment per (file, line, message): the first one's fields with the highest confidence.
+def deduplicated(comments: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One comment per (file, line, message), within ``by``: the first one's fields with the highest confidence.
 
     ``n_same`` counts the comments it stands for; ``ord`` is the first one's. Partial aggregates
     meet before the shuffle, so a comment repeated without end stays small.
     """
     first = F.min_by(F.struct("severity", "suggestion", "patch", "rule"), "ord")
-    rows = comments.groupBy("file_path", "line", "message").agg(first.alias("f"), F.max("confidence").alias("confidence"), F.min("ord").alias("ord"), F.count("*").alias("n_same"))
-    return rows.select("ord", "file_path", "line", "f.severity", "message", "confidence", "f.suggestion", "f.patch", "f.rule", "n_same")
+    rows = comments.groupBy(*by, "file_path", "line", "message").agg(first.alias("f"), F.max("confidence").alias("confidence"), F.min("ord").alias("ord"), F.count("*").alias("n_same"))
+    return rows.select(*by, "ord", "file_path", "line", "f.severity", "message", "confidence", "f.suggestion", "f.patch", "f.rule", "n_same")
 
 
 def renumbered(rows: DataFrame, by: str | None = None) -> DataFrame:
@@ -91,13 +91,13 @@ def renumbered(rows: DataFrame, by: str | None = None) -> DataFrame:
     return numbered(rows, [by] if by else [], [F.col("ord")], "idx").withColumn("idx", F.col("idx") - 1)
 
 
-def reflected(comments: DataFrame, evaluations: DataFrame, least: int = 7) -> DataFrame:
+def reflected(comments: DataFrame, evaluations: DataFrame, least: int = 7, by: tuple[str, ...] = ()) -> DataFrame:
     """Comments (idx) kept by their evaluation: its score reaches ``least`` or there is none; revised severities replace.
 
-    The last evaluation of an index counts, by ``pos``.
+    The last evaluation of an index counts, by ``pos``. ``by`` are further key columns, such as a review's id.
     """
-    last = evaluations.groupBy("idx").agg(F.max_by(F.struct("score", "revised_severity"), "pos").alias("e"))
-    rows = comments.join(last, "idx", "left")
+    last = evaluations.groupBy(*by, "idx").agg(F.max_by(F.struct("score", "revised_severity"), "pos").alias("e"))
+    rows = comments.join(last, [*by, "idx"], "left")
     return rows.where(F.col("e.score").isNull() | (F.col("e.score") >= least)).withColumn("severity", F.coalesce("e.revised_severity", "severity")).drop("e")
 
 

@@ -6,14 +6,17 @@ where ``style`` is given.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
+from ..functions import models, scores, text
 from ..functions.models import Embedder, embedded
 from ..operators import diffs, findings, history, retrieval, symbols
 from ..operators.state import IndexStore
 from ..sources import sinks
+from ..sources.readers import ReviewSettings
 from .lineage import checkpointed
 
 
@@ -92,6 +95,63 @@ def review(responses: DataFrame, rules: DataFrame, evaluations: DataFrame | None
     return findings.reviewed(rows, rules, evaluations, **how)
 
 
+def review_prompts(parsed: DataFrame, rules: DataFrame, settings: ReviewSettings, scored: DataFrame | None = None) -> DataFrame:
+    """(diff_id, group_no, id, messages): what a model is asked about every group of a diff's files.
+
+    Files that the skip cascade drops are left out; a diff within the token budget is one group.
+    With ``scored`` (path, score) of a repository the riskiest files come first within a group.
+    """
+    files, hunks = diffs.files_of(parsed), diffs.hunks_of(parsed)
+    kept = diffs.skip_cascade(files, hunks, settings.skip_extensions, settings.skip_patterns).where("skip_reason is null").select(*files.columns)
+    plan = diffs.split_plan(diffs.size_estimate(kept, hunks), settings.max_diff_tokens, settings.cross_file)
+    if scored is None:
+        ranked = plan.withColumn("score", F.lit(0.0))
+    else:
+        ranked = plan.join(scored.select(F.col("path").alias("new_path"), "score"), "new_path", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    texts = diffs.rebuilt(kept, hunks).withColumnRenamed("file_ord", "ord")
+    entry = F.struct((-F.col("score")).alias("k"), "ord", "text", history.hotspot_banner(F.col("new_path"), F.col("score")).alias("note"))
+    groups = ranked.join(texts, ["diff_id", "ord"]).groupBy("diff_id", "group_no").agg(F.array_sort(F.collect_list(entry)).alias("f"))
+    names = rules.select("name", "severity", "description", "ord").collect()  # a configuration file's rules
+    system = models.system_prompt([(r["name"], r["severity"], r["description"]) for r in sorted(names, key=lambda r: r["ord"])], suggestions=settings.include_suggestions)
+    notes = F.array_join(F.filter(F.transform("f", lambda x: x["note"]), lambda x: x.isNotNull()), "\n")
+    body = F.concat(F.when(notes != "", F.concat(F.lit("## Hotspot Analysis\n\n"), notes, F.lit("\n\n"))).otherwise(""), F.lit("## Diff\n\n```diff\n"), F.array_join(F.transform("f", lambda x: x["text"]), ""), F.lit("\n```\n"))
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    return groups.select("diff_id", "group_no", F.xxhash64("diff_id", "group_no").alias("id"), F.array(message("system", F.lit(system)), message("user", body)).alias("messages"))
+
+
+def review_diffs(parsed: DataFrame, rules: DataFrame, chat: Callable, settings: ReviewSettings | None = None, scored: DataFrame | None = None) -> DataFrame:
+    """Judged findings by diff: prompts, answers, tagging, deduplication, self-reflection and the filter.
+
+    ``chat`` answers a list of messages; it is called once a group, and once a diff for the
+    reflection. A reflection that says nothing usable keeps all comments.
+    """
+    settings = settings or ReviewSettings()
+    asked = checkpointed(review_prompts(parsed, rules, settings, scored))
+    answers = checkpointed(models.answered(asked.select("id", "messages"), chat))
+    got = findings.parsed_comments(answers.select(F.col("id").alias("resp_id"), "response")).join(asked.select(F.col("id").alias("resp_id"), "diff_id", "group_no"), "resp_id")
+    rows = got.withColumn("ord", F.col("group_no") * F.lit(1_000_000).cast("bigint") + F.col("pos"))
+    rows = findings.deduplicated(findings.tagged(rows, rules), ("diff_id",))
+    rows = checkpointed(findings.renumbered(rows, "diff_id"))
+    if settings.self_reflection:
+        line = F.struct("idx", F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), "file_path", F.lit(":"), F.col("line").cast("string"), F.lit(" "), "message").alias("t"))
+        listed = rows.groupBy("diff_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "\n").alias("t"))
+        ask = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit(models.REFLECT), F.col("t")).alias("content")))
+        said = models.answered(listed.select(F.xxhash64("diff_id").alias("id"), ask.alias("messages")), chat)
+        ev = findings.parsed_evaluations(said.select(F.col("id").alias("resp_id"), "response")).join(listed.select("diff_id", F.xxhash64("diff_id").alias("resp_id")), "resp_id")
+        rows = findings.reflected(rows, ev, settings.self_reflection_score_threshold, ("diff_id",))
+    # ord is unique within a diff only; the filter's places are by diff as well
+    rows = rows.withColumn("ord", F.xxhash64("diff_id", "idx")).withColumnRenamed("idx", "nth")
+    return findings.filtered(rows, settings.min_confidence, settings.severity_filter, settings.max_comments, "diff_id")
+
+
+def describe(diff_texts: DataFrame, chat: Callable) -> DataFrame:
+    """(diff_id, title, description, labels) of diffs (diff_id, text); an answer that is none is an error."""
+    ask = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit(models.DESCRIBE + "\n\n```diff\n"), "text", F.lit("\n```\n")).alias("content")))
+    rows = diff_texts.select("diff_id", F.xxhash64("diff_id").alias("id"), ask.alias("messages"))
+    said = models.parsed_description(models.answered(rows.select("id", "messages"), chat).select(F.col("id").alias("resp_id"), "response"))
+    return rows.select("diff_id", F.col("id").alias("resp_id")).join(said, "resp_id").drop("resp_id")
+
+
 def exit_code(comments: DataFrame, fail_on: str | None) -> int:
     """1 if any comment is at least as bad as ``fail_on``."""
     if fail_on is None:
