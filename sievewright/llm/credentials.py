@@ -255,6 +255,17 @@ def chunk_starts(text: str, size: int) -> list[int]:
         out.append(at)
 
 
+def chunk_spans(text: str, size: int = 400) -> list[tuple[int, int]]:
+    """The chunks' spans; each reaches two lines into the next, since a value may follow its name there."""
+    heads = chunk_starts(text, size)
+    out = []
+    for lo, hi in zip(heads, [*heads[1:], len(text)]):
+        for _ in range(2):
+            hi = (text.find("\n", hi) + 1) or len(text)
+        out.append((lo, hi))
+    return out
+
+
 def scan_text(text: str | None, size: int = 400) -> tuple[list[int], str | None]:
     """(line numbers on which values begin, the text masked)."""
     if not text:
@@ -267,7 +278,7 @@ def scan_text(text: str | None, size: int = 400) -> tuple[list[int], str | None]
     starts: set[int] = set()
     masks: set[tuple[int, int]] = set()
     for k in np.unique(np.searchsorted(heads, at, side="right") - 1):
-        # a value may follow its name on the next line, so a chunk reaches two lines into the next
+        # the span of chunk_spans
         lo, hi = heads[k], edges[k]
         for _ in range(2):
             hi = (text.find("\n", hi) + 1) or len(text)
@@ -323,6 +334,47 @@ def _scanned(hunk: bool, masked: bool):
     return run
 
 
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = _index()[2]
+    for b in batches:
+        keys, starts, grams = [], [], []
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            at, codes = postings(text) if text else ([], [])
+            if not len(at):
+                continue
+            for lo, hi in chunk_spans(text):
+                a, z = np.searchsorted(at, (lo, hi))
+                if z > a:
+                    keys.append(key)
+                    starts.append(lo)
+                    grams.append(sorted({names[c] for c in codes[a:z].tolist()}))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(starts, pa.int64()), pa.array(grams, pa.list_(pa.string()))], ["record_key", "chunk_at", "trigrams"])
+
+
+def index_table(texts: DataFrame) -> DataFrame:
+    """(record_key, chunk_at, trigrams): the index of texts (record_key, content) as a table to keep.
+
+    A chunk without any needed trigram has no row.
+    """
+    return texts.select("record_key", "content").mapInArrow(_indexed, "record_key string, chunk_at bigint, trigrams array<string>")
+
+
+def index_candidates(index: DataFrame) -> DataFrame:
+    """(record_key, chunk_at, detector): the chunks on which each detector has to run, by built-in expressions alone."""
+    queries, _, names = _index()
+    bit = {g: 1 << k for k, g in enumerate(names.values())}
+    grams = list(names.values())
+    hits = []
+    for kind, q in queries.items():
+        sets = [[g for k, g in enumerate(grams) if m >> k & 1] for m in alternatives(q, bit)]
+        held = [F.size(F.array_intersect("trigrams", F.array(*map(F.lit, g)))) == len(g) for g in sets]
+        any_held = held[0]
+        for h in held[1:]:
+            any_held = any_held | h
+        hits.append(F.when(any_held, F.lit(kind)))
+    return index.select("record_key", "chunk_at", F.explode(F.array_compact(F.array(*hits))).alias("detector"))
+
+
 def _texts(files: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = files.where("file_id is not null").select(F.col("file_id").cast("string").alias("record_key"), "content")
     hunk = hunks.where("diff_id is not null and file_ord is not null and hunk_ord is not null").select(

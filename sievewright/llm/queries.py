@@ -50,6 +50,11 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redacted(table(spark, d, "source_files"), table(spark, d, "diff_hunks"))
 
 
+def p4_index(spark: SparkSession, d: str) -> DataFrame:
+    source, _ = credentials._texts(table(spark, d, "source_files"), table(spark, d, "diff_hunks"))
+    return credentials.index_candidates(credentials.index_table(source.distinct()))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     points = ranking.borda(table(spark, d, "hits"), table(spark, d, "chunks"))
     return ranking.top_wanted(points, table(spark, d, "search_queries")).select("query_id", "chunk_id")
@@ -100,7 +105,7 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_redacted, p5_found, p5_ranking, p6_found, p6_rates,
+        p1_found, p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_redacted, p4_index, p5_found, p5_ranking, p6_found, p6_rates,
         p7_found, p7_pairs, p8_ids, p9_mixture, p9_shares, p10_found, p10_kept,
     )
 }
@@ -153,10 +158,25 @@ t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS
 """
 
 
+_GROUPS = """
+w AS (SELECT ord, any_value(split_part(file_path, '/', -1)) AS name, any_value(line) AS line, list_sort(list_distinct(regexp_extract_all(any_value(lower(message)), '[a-z0-9_]+'))) AS words
+      FROM comments WHERE ord IS NOT NULL AND file_path IS NOT NULL AND line IS NOT NULL AND message IS NOT NULL GROUP BY ord),
+u AS (SELECT * FROM w WHERE name <> '' AND len(words) > 0),
+rp AS (SELECT name, line, words, min(ord) AS rep, count(*) AS n FROM u GROUP BY ALL),
+e AS (SELECT x.rep AS a, y.rep AS b FROM rp x JOIN rp y ON x.name = y.name AND abs(x.line - y.line) <= 15 AND x.rep <> y.rep
+      WHERE 5 * len(list_intersect(x.words, y.words)) >= 3 * (len(x.words) + len(y.words) - len(list_intersect(x.words, y.words)))),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+g AS (SELECT a AS rep, least(a, min(b)) AS group_id FROM reach GROUP BY a), d AS (SELECT a AS rep, count(*) AS n_links FROM e GROUP BY a)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the problems it can state; the others are tested against brute force."""
     return {
         "p2_found": f"WITH RECURSIVE {_WORDS} SELECT a AS ord_a, b AS ord_b FROM reach WHERE a < b",
+        "p2_groups": f"WITH RECURSIVE {_GROUPS} SELECT u.ord, coalesce(group_id, rp.rep) AS group_id, coalesce(n_links, 0) AS n_links FROM u JOIN rp USING (name, line, words) "
+        "LEFT JOIN g ON g.rep = rp.rep LEFT JOIN d ON d.rep = rp.rep WHERE group_id IS NOT NULL OR n > 1",
+        "p3_neighbours": f"WITH {_NEAR} SELECT id, other, round(sim, 6) AS sim, place::INT AS place FROM t",
         "p3_found": f"WITH {_NEAR} SELECT DISTINCT least(id, other) AS chunk_a, greatest(id, other) AS chunk_b FROM t",
         "p5_found": f"WITH {_VALID_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, chunk_id) AS place FROM b) "
         "SELECT query_id, chunk_id FROM o JOIN (SELECT query_id, max(n_wanted) AS n_wanted FROM search_queries GROUP BY 1) USING (query_id) WHERE place <= n_wanted",

@@ -88,6 +88,15 @@ def test_required_trigrams():
     assert all(credentials.required(p, f) is not None for p, f in credentials.DETECTORS.values())
 
 
+def test_index_table_gives_the_same_candidates(spark):
+    text = "\n".join(x for line in FOUND + NOT_FOUND for x in (line, "filler words " * 20)) + "\n"
+    index = credentials.index_table(spark.createDataFrame([("k", text), ("n", None), ("e", "")], "record_key string, content string"))
+    got = {(r.record_key, r.chunk_at, r.detector) for r in credentials.index_candidates(index).collect()}
+    at, codes = credentials.postings(text)
+    want = {("k", lo, kind) for lo, hi in credentials.chunk_spans(text) for kind in credentials.candidates([int(c) for a, c in zip(at, codes) if lo <= a < hi])}
+    assert got == want and len(want) > 20
+
+
 def test_long_and_odd_texts():
     block = "x\n-----BEGIN PRIVATE KEY-----\n" + "Ab9/\n" * 30 + "-----END PRIVATE KEY-----\ny\n"
     lines, masked = credentials.scan_text(block)
