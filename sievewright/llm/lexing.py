@@ -143,14 +143,15 @@ def _close(text: str, pos: int, state: str, lang: str = "") -> tuple[int, str]:
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "when", "if", "unless", "and", "or", "not", "puts"}
 
 
-def scan(text: str, lang: str, state: str = "") -> tuple[list[tuple[str, str, int]], str]:
+def scan(text: str, lang: str, state: str = "", kept=None) -> tuple[list[tuple[str, str, int]], str]:
     """Tokens (kind, text, start) without white space, and the state at the end.
 
     Kinds: nl com str num id special open close op bad conflict. A construct that an earlier chunk
-    opened gives a 'str' or 'com' token for its rest; one left open here gives one too.
+    opened gives a 'str' or 'com' token for its rest; one left open here gives one too. The tokens are
+    appended to ``kept`` if it is given.
     """
     match = _master(lang).match
-    out: list[tuple[str, str, int]] = []
+    out: list[tuple[str, str, int]] = [] if kept is None else kept
     pos, n = 0, len(text)
     waiting: list[str] = []  # heredocs that begin at the next line
     if state:

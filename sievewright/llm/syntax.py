@@ -1,15 +1,18 @@
 """Problem 6: source files that do not parse.
 
-A file is a sequence of chunks. Each chunk becomes a map from the lexer state it may be entered in
-to (state it is left in, brackets it closes that were opened before, brackets it leaves open,
-first fault). Such maps compose associatively, so the chunks of a large file are summarised in
-different tasks and folded. Within a chunk the balanced statements are checked by local grammars:
-which tokens may follow which, inside which bracket and statement; Python's statements are parsed
-one by one in a normalised form, and their indentation is followed.
+Every file is lexed and checked whole, whatever its size: strings, comments and brackets first, then
+the balanced statements by local grammars: which tokens may follow which, inside which bracket and
+statement; Python's statements are parsed one by one in a normalised form, and their indentation is
+followed.
+
+Texts that come in chunks: a chunk is a map from the lexer state it may be entered in to (state it is
+left in, brackets it closes that were opened before, brackets it leaves open, first fault). Such maps
+compose associatively (``state_map``, ``fold``), but a statement across a cut is not seen whole, so
+files are not judged by them.
 
 JavaScript and TypeScript with markup inside are checked for conflict markers only.
 
-A file is invalid if folding leaves an open string, comment or bracket, a bracket closes another
+A file is invalid if it leaves an open string, comment or bracket, a bracket closes another
 kind, or a statement breaks its grammar.
 
 Defined results: capitals and outer blanks in ``language`` do not matter; a null language means
@@ -589,12 +592,14 @@ _MARKUP = re.compile(r"(?:\breturn|=>|[(?:&=,])\s*<(?:>|[A-Za-z_][\w.]*(?:\s+[\w
 _CLOSED = re.compile(r"</[A-Za-z_>]|/>")
 
 
-def summarise(text: str, lang: str, state: str = "", whole: bool = True) -> tuple[str, str, str, str | None]:
-    """(state at the end, closers, openers, first fault) of a chunk entered in ``state``."""
+def summarise(text: str, lang: str, state: str = "", whole: bool = True, kept: _Shared | None = None) -> tuple[str, str, str, str | None]:
+    """(state at the end, closers, openers, first fault) of a chunk entered in ``state``; its tokens go to ``kept`` if given."""
     if lang in ("javascript", "typescript") and not text.lstrip().startswith("<") and _MARKUP.search(text) and _CLOSED.search(text):
         marker = re.search(r"(?m)^(?:<{7}|>{7})(?: |$)", text)
         return "", "", "", "conflict marker" if marker else None
-    tokens, left = scan(text, lang, state)
+    tokens, left = scan(text, lang, state, kept)
+    if kept is not None:
+        tokens = kept.kept
     if left and whole and not left.startswith("l:=end"):
         return left, "", "", "left open"
     if lang == "ruby":
@@ -689,17 +694,33 @@ def _accepted(text: str, lang: str) -> bool:
             return False
 
 
+class _Shared:
+    """Tokens of a large text: equal ones are one object, and comments are not kept."""
+
+    def __init__(self, places: bool):
+        self.places, self.kept, self.seen, self.last = places, [], {}, None
+
+    def append(self, token: tuple[str, str, int]) -> None:
+        self.last = token
+        kind, tok, at = token
+        if kind != "com":
+            one = self.seen.setdefault((kind, tok), (kind, tok, 0))
+            self.kept.append((one[0], one[1], at) if self.places else one)
+
+    def __getitem__(self, _: int) -> tuple[str, str, int]:
+        return self.last
+
+    def __bool__(self) -> bool:
+        return self.last is not None
+
+
 def check_text(text: str | None, language: str | None, path: str | None, size: int = 1 << 16) -> str | None:
-    """The fault of one file, None if valid."""
+    """The fault of one file, None if valid. Texts over ``size`` are lexed into shared tokens; the verdict does not depend on it."""
     lang = language_of(language, path)
     if not text or lang is None:
         return None
     text = text.replace("\r\n", "\n")
-    chunks = split_chunks(text, size)
-    total = state_map(chunks[0], lang, len(chunks) == 1)
-    for c in chunks[1:]:
-        total = fold(total, state_map(c, lang, False))
-    fault = verdict(total)
+    fault = verdict({"": summarise(text, lang, kept=_Shared(lang == "python") if len(text) > size else None)})
     return None if fault and _accepted(text, lang) else fault
 
 
@@ -717,75 +738,20 @@ def _checked(size: int):
     return run
 
 
-MAPS = "file_id bigint, repo string, language string, part int, entry string, left string, closers string, openers string, fault string"
-
-
-def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [p.split()[0] for p in MAPS.split(", ")]
-    types = [pa.int64(), pa.string(), pa.string(), pa.int32()] + [pa.string()] * 5
-    for b in batches:
-        rows: list[list] = [[] for _ in names]
-        for fid, repo, la, part, chunk in zip(*(b.column(i).to_pylist() for i in range(5))):
-            for entry, (left, close, open_, fault) in state_map(chunk, la, False).items():
-                for r, v in zip(rows, (fid, repo, la, part, entry, left, close, open_, fault)):
-                    r.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names)
-
-
-def _split(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = b.to_pydict()
-            for fid, repo, la, p, t in zip(*(cols[c] for c in ("file_id", "repo", "language", "path", "content"))):
-                lang = language_of(la, p)
-                if lang is None:
-                    continue
-                parts = split_chunks(t.replace("\r\n", "\n"), size)
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([fid] * n, pa.int64()), pa.array([repo] * n), pa.array([lang] * n), pa.array(range(n), pa.int32()), pa.array(parts)],
-                    ["file_id", "repo", "language", "part", "chunk"],
-                )
-
-    return run
-
-
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        faults = []
-        for parts in b.column(3).to_pylist():
-            maps: dict[int, dict] = {}
-            for x in parts:
-                maps.setdefault(x["part"], {})[x["entry"]] = (x["left"], x["closers"], x["openers"], x["fault"])
-            ordered = [maps[k] for k in sorted(maps)]
-            total = ordered[0]
-            for m in ordered[1:]:
-                total = fold(total, m)
-            faults.append(verdict(total))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(faults, pa.string())], ["file_id", "repo", "language", "fault"])
-
-
 OUT = "file_id bigint, repo string, language string, fault string"
 
 
 def checked_files(files: DataFrame, chunk: int = 1 << 16, large: int = 1 << 20) -> DataFrame:
     """(file_id, repo, language, fault) of every file once; fault is null for valid files.
 
-    Files up to ``large`` characters are folded where they are read. Larger ones are split, their
-    chunks spread over tasks and summarised, and the small summaries gathered by file.
+    Files up to ``large`` characters are checked where they are read, larger ones spread over tasks
+    first. Every file is checked whole; over ``chunk`` characters its tokens are shared.
     """
     rows = files.select("file_id", "repo", "path", "language", "content").where("file_id is not null")
     little = rows.where(F.coalesce(F.length("content"), F.lit(0)) <= large)
-    big = rows.where(F.length("content") > large)
-    here = little.mapInArrow(_checked(chunk), OUT)
-    pieces = big.mapInArrow(_split(chunk), "file_id bigint, repo string, language string, part int, chunk string").repartition("file_id", "part")
-    maps = pieces.mapInArrow(_mapped, MAPS)
-    there = (
-        maps.groupBy("file_id", "repo", "language")
-        .agg(F.collect_set(F.struct("part", "entry", "left", "closers", "openers", "fault")).alias("parts"))
-        .mapInArrow(_folded, OUT)
-    )
-    return here.unionByName(there).groupBy("file_id").agg(F.min("repo").alias("repo"), F.min("language").alias("language"), F.min("fault").alias("fault"))
+    big = rows.where(F.length("content") > large).repartition("file_id")
+    both = little.mapInArrow(_checked(chunk), OUT).unionByName(big.mapInArrow(_checked(chunk), OUT))
+    return both.groupBy("file_id").agg(F.min("repo").alias("repo"), F.min("language").alias("language"), F.min("fault").alias("fault"))
 
 
 def rates(checked: DataFrame) -> DataFrame:

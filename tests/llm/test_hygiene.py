@@ -172,6 +172,20 @@ def test_more_valid_code(lang, text):
     assert syntax.check_text(text, lang, None) is None
 
 
+TABLE = {
+    "go": ("package x\n\nvar a = []string{\n", '"some words",\n', "}\n"), "rust": ("pub const A: &[&str] = &[\n", '"some words",\n', "];\n"), "javascript": ("const a = [\n", '"some words",\n', "];\n"),
+    "typescript": ("const a: string[] = [\n", '"some words",\n', "];\n"), "java": ('class A {\nString[] a = {\n', '"some words",\n', "};\n}\n"), "c": ("const char *a[] = {\n", '"some words",\n', "};\n"), "ruby": ("A = [\n", '"some words",\n', "]\n"),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(TABLE))
+def test_p6_long_table_with_trailing_commas(lang):
+    head, line, tail = TABLE[lang]
+    for n in (3, 6000, 90_000):
+        assert syntax.check_text(head + line * n + tail, lang, None) is None, n
+        assert syntax.check_text(head + line * n, lang, None) is not None, n
+
+
 def test_folding_is_associative():
     text = VALID["rust"] * 2
     maps = [syntax.state_map(c, "rust", False) for c in syntax.split_chunks(text, 30)]
