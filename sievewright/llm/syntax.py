@@ -681,17 +681,32 @@ def split_chunks(text: str, size: int) -> list[str]:
     return [*out, text[at:]]
 
 
-def _accepted(text: str, lang: str) -> bool:
-    """An exact check after the operator: Python's own parser, for files it flagged."""
+#: Where a statement can begin that is no clause of the one before.
+_OUTER = re.compile(r"(?m)^(?!(?:else|elif|except|finally)\b)[^\s#)\]}]")
+
+
+def _accepted(text: str, lang: str, size: int = 1 << 16) -> bool:
+    """An exact check after the operator: Python's own parser, for files it flagged.
+
+    Statements are parsed in stretches of about ``size`` characters, which keeps the trees small. A
+    stretch that does not parse may end inside of a statement, so it is made longer, up to all that is left.
+    """
     if lang != "python":
         return False
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            ast.parse(text)
-            return True
-        except (SyntaxError, ValueError, MemoryError, RecursionError):
-            return False
+    at, reach = 0, size
+    while at < len(text):
+        cut = _OUTER.search(text, at + reach)
+        end = cut.start() if cut else len(text)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            try:
+                ast.parse(text[at:end])
+                at, reach = end, size
+            except (SyntaxError, ValueError, MemoryError, RecursionError):
+                if end == len(text):
+                    return False
+                reach = 2 * (end - at)
+    return True
 
 
 class _Shared:
