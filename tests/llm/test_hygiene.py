@@ -186,6 +186,14 @@ def test_p6_long_table_with_trailing_commas(lang):
         assert syntax.check_text(head + line * n, lang, None) is not None, n
 
 
+def test_p6_unknown_languages_at_every_size(spark):
+    rows = [(1, "a.txt", None, "((( " * 10), (2, "b.py", "cobol", "((( " * 90), (3, "c.txt", None, "((( " * 90), (4, "d.py", None, "((( " * 90)]
+    df = spark.createDataFrame([(k, "r", p, la, t) for k, p, la, t in rows], "file_id bigint, repo string, path string, language string, content string")
+    for how in ({}, {"chunk": 50, "large": 100}):
+        checked = syntax.checked_files(df, **how)
+        assert {(r.language, r.files, r.invalid) for r in syntax.rates(checked).collect()} == {("unknown", 3, 0), ("python", 1, 1)}
+
+
 LINES = "x = 1\n" * 12_000
 
 
