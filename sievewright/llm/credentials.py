@@ -266,6 +266,37 @@ def chunk_spans(text: str, size: int = 400) -> list[tuple[int, int]]:
     return out
 
 
+_KEY_EDGE = re.compile(r"-----(?:(?P<end>END)|BEGIN) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+#: A line of a key block: an armor header or base64, also as a piece of a string or comment.
+_ARMOR = re.compile(
+    r"""[ \t]*(?:(?:\#|//|\*|>|\|)[ \t]*)?["'`]?(?P<b>(?:Version|Comment|Charset|Hash|MessageID|Proc-Type|DEK-Info|Key-Info): [^\n]*?|(?:[A-Za-z0-9+/=]|\\[nrt])*)["'`]?[ \t]*[+,.\\]?[ \t\r]*(?:\n|\Z)"""
+)
+
+
+def _key_body(text: str, at: int) -> list[tuple[int, int]]:
+    """What to mask of the key block whose BEGIN line's marker ends at ``at``.
+
+    Everything up to its END; without one, the base64 and armor lines that follow.
+    """
+    edge = _KEY_EDGE.search(text, at)
+    if edge and edge.group("end"):
+        return [(at, edge.end())]
+    out, last = [], ""
+    if rest := re.compile(r"(?:\\[nrt]|[A-Za-z0-9+/=])+").match(text, at):
+        out.append(rest.span())
+        at = rest.end()
+    at = (text.find("\n", at) + 1) or len(text)
+    while at < len(text) and (m := _ARMOR.match(text, at)):
+        body = m.group("b")
+        # a lower-case word is code, and so is a short line after an empty one
+        if re.fullmatch("[a-z]{1,15}", body) or body and len(body) < 16 and not last and out:
+            break
+        if body:
+            out.append(m.span("b"))
+        last, at = body, m.end()
+    return out
+
+
 def scan_text(text: str | None, size: int = 400) -> tuple[list[int], str | None]:
     """(line numbers on which values begin, the text masked)."""
     if not text:
@@ -290,11 +321,9 @@ def scan_text(text: str | None, size: int = 400) -> tuple[list[int], str | None]
             starts |= {lo + x for x, _ in begin}
             masks |= {(lo + x, lo + y) for x, y in spans}
             if "key_block" in which:
-                for x, _ in begin:
+                for x, y in begin:
                     if text.startswith("-----BEGIN", lo + x):
-                        end = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----").search(text, lo + x, lo + x + 20000)
-                        if end:
-                            masks.add((lo + x, end.end()))
+                        masks.update(_key_body(text, lo + y))
     if not starts:
         return [], text
     out = list(text)
