@@ -363,29 +363,34 @@ def _scanned(hunk: bool, masked: bool):
     return run
 
 
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = _index()[2]
-    for b in batches:
-        keys, starts, grams = [], [], []
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            at, codes = postings(text) if text else ([], [])
-            if not len(at):
-                continue
-            for lo, hi in chunk_spans(text):
-                a, z = np.searchsorted(at, (lo, hi))
-                if z > a:
-                    keys.append(key)
-                    starts.append(lo)
-                    grams.append(sorted({names[c] for c in codes[a:z].tolist()}))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(starts, pa.int64()), pa.array(grams, pa.list_(pa.string()))], ["record_key", "chunk_at", "trigrams"])
+def _indexed(hunk: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = _index()[2]
+        for b in batches:
+            keys, starts, grams = [], [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if hunk and text:
+                    text = "\n".join(ln[1:] for ln in text.split("\n"))
+                at, codes = postings(text) if text else ([], [])
+                if not len(at):
+                    continue
+                for lo, hi in chunk_spans(text):
+                    a, z = np.searchsorted(at, (lo, hi))
+                    if z > a:
+                        keys.append(key)
+                        starts.append(lo)
+                        grams.append(sorted({names[c] for c in codes[a:z].tolist()}))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(starts, pa.int64()), pa.array(grams, pa.list_(pa.string()))], ["record_key", "chunk_at", "trigrams"])
 
+    return run
 
-def index_table(texts: DataFrame) -> DataFrame:
+
+def index_table(texts: DataFrame, hunk: bool = False) -> DataFrame:
     """(record_key, chunk_at, trigrams): the index of texts (record_key, content) as a table to keep.
 
-    A chunk without any needed trigram has no row.
+    A chunk without any needed trigram has no row. Chunks of hunks begin at places in the text without line markers.
     """
-    return texts.select("record_key", "content").mapInArrow(_indexed, "record_key string, chunk_at bigint, trigrams array<string>")
+    return texts.select("record_key", "content").mapInArrow(_indexed(hunk), "record_key string, chunk_at bigint, trigrams array<string>")
 
 
 def index_candidates(index: DataFrame) -> DataFrame:
@@ -422,6 +427,15 @@ def found(files: DataFrame, hunks: DataFrame) -> DataFrame:
     )
 
 
+def candidate_chunks(files: DataFrame, hunks: DataFrame) -> DataFrame:
+    """(record_kind, record_key, chunk_at, detector): the chunks of both tables on which each detector has to run."""
+    source, hunk = _texts(files, hunks)
+    return (
+        index_candidates(index_table(source)).select(F.lit("source").alias("record_kind"), "*")
+        .union(index_candidates(index_table(hunk, True)).select(F.lit("hunk"), "*")).distinct()
+    )
+
+
 def redacted(files: DataFrame, hunks: DataFrame) -> DataFrame:
     """(record_kind, record_key, n_values, content): every text, its credentials masked."""
     source, hunk = _texts(files, hunks)

@@ -51,8 +51,7 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_index(spark: SparkSession, d: str) -> DataFrame:
-    source, _ = credentials._texts(table(spark, d, "source_files"), table(spark, d, "diff_hunks"))
-    return credentials.index_candidates(credentials.index_table(source.distinct()))
+    return credentials.candidate_chunks(table(spark, d, "source_files"), table(spark, d, "diff_hunks"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

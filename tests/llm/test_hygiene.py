@@ -127,6 +127,15 @@ def test_p4_key_blocks_are_masked_to_their_end(head, body, tail):
     assert kept in masked
 
 
+def test_p4_index_holds_files_and_hunks(spark):
+    files = spark.createDataFrame([(1, FOUND[0] + "\n"), (1, FOUND[0] + "\n"), (2, None)], "file_id bigint, content string")
+    hunks = spark.createDataFrame([("d", 0, 1, "+pass\n-word\n+" + FOUND[0] + "\n")], "diff_id string, file_ord int, hunk_ord int, content string")
+    rows = [tuple(r) for r in credentials.candidate_chunks(files, hunks).collect()]
+    assert len(rows) == len(set(rows)) and {r[:3] for r in rows} == {("source", "1", 0), ("hunk", "d#0#1", 0)}
+    at, codes = credentials.postings("pass\nword\n" + FOUND[0] + "\n")
+    assert {r[3] for r in rows if r[0] == "hunk"} == credentials.candidates([int(c) for c in codes])
+
+
 def test_p4_tables(spark):
     files = spark.createDataFrame([(1, FOUND[0] + "\n", 1), (1, FOUND[0] + "\n", 1), (2, None, 1), (None, FOUND[0], 1)], "file_id bigint, content string, line_no int")
     hunks = spark.createDataFrame([("d", 0, 1, " a\n-" + FOUND[1] + "\n+b\n"), ("d", 0, None, "+" + FOUND[0])], "diff_id string, file_ord int, hunk_ord int, content string")
