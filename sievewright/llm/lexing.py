@@ -143,26 +143,118 @@ def _close(text: str, pos: int, state: str, lang: str = "") -> tuple[int, str]:
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "when", "if", "unless", "and", "or", "not", "puts"}
 
 
-def scan(text: str, lang: str, state: str = "", kept=None) -> tuple[list[tuple[str, str, int]], str]:
+#: Words after which a value stands, so that '<' opens an element there.
+_BEFORE_MARKUP = {"return", "default", "yield", "await", "case", "typeof", "else", "do"}
+_TAG = re.compile(r"<(?:>|(?P<name>[A-Za-z_$][\w$.:-]*)(?P<types><[^<>(){}\n]*>)?(?=[\s/>{]))")
+_ATTRIBUTE = re.compile(r"""(?:\s|/\*[\s\S]*?\*/|//[^\n]*)*(?:(?P<end>/?\s*>)|(?P<hole>\{)|(?P<name>[A-Za-z_$][\w$:.-]*)(?:\s*=\s*(?:"[^"]*"|'[^']*'|(?P<value>\{)|(?P<element>(?=<))))?)""")
+_CLOSING = re.compile(r"</\s*([A-Za-z_$][\w$.:-]*)?\s*>")
+_CHILD = re.compile(r"[<{}>]")
+
+
+def _element(text: str, pos: int, lang: str, holes: list, alone: bool = False) -> int:
+    """Behind the element that begins at ``pos``, -1 if it is not closed properly, or if it has children though it has to stand ``alone``.
+
+    The tokens of its {holes} go to ``holes``.
+    """
+    names: list[str] = []
+
+    def hole(at: int) -> int:
+        inside: list[tuple[str, str, int]] = []
+        end = _lex(text, lang, "", inside, at, True)[1]
+        if end >= 0:
+            holes.extend([("open", "(", at - 1), *inside, ("close", ")", end - 1)])
+        return end
+
+    while True:
+        if text.startswith("</", pos):
+            m = _CLOSING.match(text, pos)
+            if not m or not names or names.pop() != (m.group(1) or ""):
+                return -1
+            pos = m.end()
+        elif text[pos] == "{":
+            pos = hole(pos + 1)
+        else:
+            m = _TAG.match(text, pos)
+            if not m:
+                return -1
+            pos, closed = m.end(), False
+            while m.group("name"):
+                a = _ATTRIBUTE.match(text, pos)
+                if not a:
+                    return -1
+                pos = a.end()
+                if a.group("end"):
+                    closed = a.group("end")[0] == "/"
+                    break
+                if a.group("hole") or a.group("value"):
+                    pos = hole(pos)
+                elif a.group("element") is not None:
+                    pos = _element(text, pos, lang, holes)
+                if pos < 0:
+                    return -1
+            if not closed and alone:
+                return -1
+            if not closed:
+                names.append(m.group("name") or "")
+        if pos < 0 or not names:
+            return pos
+        child = _CHILD.search(text, pos)
+        if not child or child.group() in "}>":
+            return -1
+        pos = child.start()
+
+
+def scan(text: str, lang: str, state: str = "", kept=None, markup: bool = False) -> tuple[list[tuple[str, str, int]], str]:
     """Tokens (kind, text, start) without white space, and the state at the end.
 
     Kinds: nl com str num id special open close op bad conflict. A construct that an earlier chunk
     opened gives a 'str' or 'com' token for its rest; one left open here gives one too. The tokens are
     appended to ``kept`` if it is given.
+
+    With ``markup``, an element where a value stands is a 'str' that is called with its {holes}, one
+    that is not closed properly is 'bad' unless TypeScript may mean types by it.
     """
-    match = _master(lang).match
     out: list[tuple[str, str, int]] = [] if kept is None else kept
-    pos, n = 0, len(text)
+    try:
+        return out, _lex(text, lang, state, out, 0, False, markup)[0]
+    except RecursionError:  # hundreds of elements inside each other's holes
+        out.append(("bad", "<", 0))
+        return out, ""
+
+
+def _lex(text: str, lang: str, state: str, out: list, pos: int, hole: bool, markup: bool = True) -> tuple[str, int]:
+    """scan() from ``pos`` on, into ``out``: (state at the end, -1); in a ``hole``, up to the brace that closes it: ('', place behind it)."""
+    match = _master(lang).match
+    n, depth = len(text), 0
+    markup = markup and lang in ("javascript", "typescript")
+    value = ("open", "", 0)  # the last token that is neither comment nor line end
     waiting: list[str] = []  # heredocs that begin at the next line
     if state:
         end, left = _close(text, 0, state, lang)
         out.append(("com" if state in ("e:*/", "l:=end") or state[0] == "n" else "str", text[:end], 0))
         if left:
-            return out, left
+            return left, -1
         pos = end
     regexes = lang in _REGEX_LANGS
     last = out[-1] if out else ("nl", "", 0)
     while pos < n:
+        if markup and last[0] not in ("nl", "com"):
+            value = last
+        if markup and text[pos] == "<" and (value[0] == "open" or value[0] == "op" and value[1] not in ("++", "--") or value[0] == "id" and value[1] in _BEFORE_MARKUP) and (t := _TAG.match(text, pos)):
+            name, holes = t.group("name") or "", []
+            ends = lang == "javascript" or re.compile(rf"</\s*{re.escape(name)}\s*>").search(text, t.end())
+            end = _element(text, pos, lang, holes, not ends)
+            if end > 0:
+                for token in [("str", t.group(), pos), *holes]:
+                    out.append(token)
+                last, pos = out[-1], end
+                continue
+            if ends:
+                out.append(("bad", t.group(), pos))
+                if hole:
+                    return "", -1
+                last, pos, markup = out[-1], t.end(), False  # nothing is tried twice
+                continue
         if regexes and text[pos] == "/" and (last[0] in ("op", "open", "nl", "com") or (last[0] == "id" and last[1] in _BEFORE_REGEX)):
             r = _REGEX.match(text, pos)
             if r and text[pos:pos + 2] not in ("//", "/*"):
@@ -191,9 +283,13 @@ def scan(text: str, lang: str, state: str = "", kept=None) -> tuple[list[tuple[s
                 end, left = m.end() - 1, ""  # "" followed by a quote
             out.append(("com" if kind != "opens" else "str", text[pos:end], pos))
             if left:
-                return out, left
+                return left, -1
             last, pos = out[-1], end
             continue
+        if hole and tok in "{}" and kind in ("open", "close"):
+            depth += 1 if tok == "{" else -1
+            if depth < 0:
+                return "", m.end()
         out.append((kind, tok, pos))
         last, pos = out[-1], m.end()
         if kind == "nl" and waiting:
@@ -201,11 +297,11 @@ def scan(text: str, lang: str, state: str = "", kept=None) -> tuple[list[tuple[s
                 end, left = _close(text, pos, w)
                 out.append(("com", text[pos:end], pos))
                 if left:
-                    return out, left
+                    return left, -1
                 pos = end
             waiting = []
             last = ("nl", "", pos)
-    return out, (waiting[0] if waiting else "")
+    return waiting[0] if waiting else "", -1
 
 
 def language_of(language: str | None, path: str | None) -> str | None:

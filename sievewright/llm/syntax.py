@@ -10,7 +10,8 @@ left in, brackets it closes that were opened before, brackets it leaves open, fi
 compose associatively (``state_map``, ``fold``), but a statement across a cut is not seen whole, so
 files are not judged by them.
 
-JavaScript and TypeScript with markup inside are checked for conflict markers only.
+Markup in JavaScript and TypeScript is lexed: tags have to match, and the code in its {holes} is
+checked like any other.
 
 A file is invalid if it leaves an open string, comment or bracket, a bracket closes another
 kind, or a statement breaks its grammar.
@@ -587,17 +588,9 @@ def _python(text: str, tokens: list, whole: bool) -> str | None:
 
 # ------------------------------------------------------------------ chunks
 
-#: Markup inside of code, which these grammars do not cover: an element where a value stands, closed somewhere.
-_MARKUP = re.compile(r"(?:\breturn|=>|[(?:&=,])\s*<(?:>|[A-Za-z_][\w.]*(?:\s+[\w-]+=|\s*/?>))")
-_CLOSED = re.compile(r"</[A-Za-z_>]|/>")
-
-
 def summarise(text: str, lang: str, state: str = "", whole: bool = True, kept: _Shared | None = None) -> tuple[str, str, str, str | None]:
     """(state at the end, closers, openers, first fault) of a chunk entered in ``state``; its tokens go to ``kept`` if given."""
-    if lang in ("javascript", "typescript") and not text.lstrip().startswith("<") and _MARKUP.search(text) and _CLOSED.search(text):
-        marker = re.search(r"(?m)^(?:<{7}|>{7})(?: |$)", text)
-        return "", "", "", "conflict marker" if marker else None
-    tokens, left = scan(text, lang, state, kept)
+    tokens, left = scan(text, lang, state, kept, markup=not text.lstrip().startswith("<"))
     if kept is not None:
         tokens = kept.kept
     if left and whole and not left.startswith("l:=end"):

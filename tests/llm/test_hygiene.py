@@ -223,6 +223,40 @@ def test_p6_unknown_languages_at_every_size(spark):
         assert {(r.language, r.files, r.invalid) for r in syntax.rates(checked).collect()} == {("unknown", 3, 0), ("python", 1, 1)}
 
 
+MARKUP = """import React from "react";
+export function App({ items, onPick }) {
+  const label = items.length > 3 ? <b>many</b> : <i className='x'>few</i>;
+  return (
+    <div className="a" {...rest} style={{ color: "red" }} onClick={() => { onPick(1); }}>
+      it's a list: {/* ) note ( */}
+      <>
+        {items.map((x) => <Row.Item key={x.id} icon={<Icon />} text={`a ${x.t} }`} disabled />)}
+      </>
+      {ok && (
+        <p>&nbsp;don't [ ( worry</p>
+      )}
+      <br/>
+    </div>
+  );
+}
+"""
+
+
+@pytest.mark.parametrize("lang", ["javascript", "typescript"])
+def test_p6_markup(lang):
+    for text in (MARKUP, MARKUP * 100, "const s = `(<b>x</b>`; // (<b>x</b>\nlet y = 1;\n", "const a = b < c && d > e;\nif (a <b) { c() }\n"):
+        assert syntax.check_text(text, lang, None) is None
+    cuts = [MARKUP[:at] for at in range(MARKUP.index("return"), len(MARKUP) - 3, 7)]
+    edits = [MARKUP.replace(a, b) for a, b in [("</p>", "</q>"), ("onPick(1);", "onPick(1;"), ("</div>", ""), ("x.id}", "x.id"), ("<br/>", "<br>"), ("items.length > 3", "items.length 3"), ("  );\n}", "  )\n")]]
+    for text in [*cuts, *edits, "const s = `(<b>x</b>`;\nfunction f( { return (1 }\n", "// (<b>x</b>\nlet x = ;\n", MARKUP * 100 + "f(\n", "a = " + "<p>{f(" * 40 + "<b></i>" + ")}</p>" * 40 + "\n", "a = " + "<p>{" * 400, MARKUP + "<<<<<<< HEAD\nx = 1\n"]:
+        assert syntax.check_text(text, lang, None) is not None, text[-60:]
+
+
+@pytest.mark.parametrize("text", ["const f = <T,>(x: T) => x;\nconst g = <T extends U>(x: T): T => x;\nconst h = <T>(x: T) => <div>{x}</div>;\n", "let a = <Foo>bar;\nlet b = new Map<string, Array<number>>();\ntype A<T> = T extends (infer U)[] ? U : never;\n", "const e = <List<Item> rows={r} />;\n"])
+def test_p6_types_are_no_markup(text):
+    assert syntax.check_text(text, "typescript", None) is None
+
+
 LINES = "x = 1\n" * 12_000
 
 
