@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _Q = r"""(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)"""
-_MORE = r"""(?P<more>(?:\s*[+,.]?\s*["'`](?:[^"'`\\\n]|\\.)*["'`])*)"""
+_MORE = r"""(?P<more>(?:\s*(?:[+,.]\s*)?["'`](?:[^"'`\\\n]|\\.)*["'`])*)"""
 #: Words of names whose value is a credential.
 _NAMES = (
     r"(?:passw(?:or)?d|passphrase|passwort|kennwort|contrase(?:n|ñ)a|(?:smtp|db|ftp|mail|user|root|admin|login|imap|ldap)_?pass(?![a-z])|pwd|secret|credential"
@@ -41,7 +41,7 @@ _ISSUED = (
 DETECTORS: dict[str, tuple[str, int]] = {
     "key_block": (r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)", 0),
     "issued": (rf"(?<![A-Za-z0-9+/=_])(?P<v>{_ISSUED})", 0),
-    "issued_split": (r"""["'`](?P<v>(?:AKIA|ASIA|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|npm_|vlt\.|hvs\.|eyJ)[\w.-]*)["'`](?P<more>(?:\s*[+,.]?\s*["'`][\w.-]+["'`])+)""", 0),
+    "issued_split": (r"""["'`](?P<v>(?:AKIA|ASIA|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|npm_|vlt\.|hvs\.|eyJ)[\w.-]*)["'`](?P<more>(?:\s*(?:[+,.]\s*)?["'`][\w.-]+["'`])+)""", 0),
     "named": (rf"""{_NAMES}(?P<rest>[\w$]{{0,24}})["'\]]{{0,2}}[ \t]*(?::[ \t]*[&\w'<>\[\] .*?]{{1,40}}?[ \t]*)?(?:=>|:=|=|:)\s*(?:[\w.!]{{0,24}}\(\s*)?[brfu&@$]{{0,2}}{_Q}{_MORE}""", re.I),
     "fallback": (rf"""{_NAMES}(?P<rest>\w{{0,24}})(?:["'`\])]{{1,3}}\s*,|["'`\])]{{0,3}}\s*(?:\|\||\?\?|\bor\b))\s*{_Q}""", re.I),
     "url_login": (r"""[a-z][a-z0-9+.-]*://[^\s:/@"'`]*:(?P<v>[^\s/"'`]+)@[A-Za-z0-9\[]""", re.I),
@@ -56,16 +56,23 @@ DETECTORS: dict[str, tuple[str, int]] = {
 _COMPILED = {k: re.compile(p, f) for k, (p, f) in DETECTORS.items()}
 #: Where a detector that begins with a name can begin, looked for in lower case, which is faster than without regard to case.
 _NAMED = re.compile(f"(?={_NAMES})")
+_NAMED_ANY = re.compile(f"(?={_NAMES})", re.I)
+#: The first line of the other detectors that may run over several.
+_HEADS = {
+    "issued_split": re.compile(r"""["'`](?:AKIA|ASIA|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|npm_|vlt\.|hvs\.|eyJ)"""),
+    "login_call": re.compile(r"\b(?:\w*(?:login|log_in)|signin|sign_in|signon|sign_on|logon|authenticate|opensession|open_session|setcredentials?|set_credentials?|connectas|connect_as)\w*!?\(", re.I),
+}
 
 
-def _matches(kind: str, text: str, at_names: list[int] | None) -> Iterator[re.Match]:
-    if kind not in ("named", "fallback") or at_names is None:
-        yield from _COMPILED[kind].finditer(text)
+def _matches(kind: str, text: str, lo: int, hi: int, at_names: list[int], ends: dict[str, int]) -> Iterator[re.Match]:
+    """The matches that begin in lo..hi, which are line starts, wherever they end; ``ends`` holds where the last one of each kind did."""
+    if kind not in ("named", "fallback", *_HEADS):
+        yield from _COMPILED[kind].finditer(text, lo, hi)
         return
-    end, match = 0, _COMPILED[kind].match
-    for at in at_names:
-        if at >= end and (m := match(text, at)):
-            end = m.end()
+    match = _COMPILED[kind].match
+    for at in at_names if kind not in _HEADS else [m.start() for m in _HEADS[kind].finditer(text, lo, hi)]:
+        if at >= ends.get(kind, 0) and (m := match(text, at)):
+            ends[kind] = m.end()
             yield m
 
 
@@ -110,15 +117,18 @@ def is_credential(kind: str, value: str, match: re.Match | None = None) -> bool:
     return bool(re.search(r"\d", v) or re.search(r"[^\w.-]", v) or re.search(r"[a-z][A-Z]", v) and len(v) >= (12 if kind in ("named", "fallback") else 6))
 
 
-def find_values(text: str, only: set[str] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Spans of values where they begin, and of all their pieces."""
+def find_values(text: str, only: set[str] | None = None, lo: int = 0, hi: int | None = None, ends: dict[str, int] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans of values where they begin, and of all their pieces, for the matches that begin in lo..hi."""
     spans: list[tuple[int, int, bool]] = []
-    low = text.lower()
-    at_names = [m.start() for m in _NAMED.finditer(low)] if len(low) == len(text) and (only is None or only & {"named", "fallback"}) else None
+    hi, ends, at_names = len(text) if hi is None else hi, {} if ends is None else ends, []
+    if only is None or only & {"named", "fallback"}:
+        piece = text[lo:hi]
+        low = piece.lower()
+        at_names = [lo + m.start() for m in (_NAMED.finditer(low) if len(low) == len(piece) else _NAMED_ANY.finditer(piece))]
     for kind in _COMPILED:
         if only is not None and kind not in only:
             continue
-        for m in _matches(kind, text, at_names):
+        for m in _matches(kind, text, lo, hi, at_names, ends):
             value, pieces = m.group("v"), [m.span("v")]
             if kind in ("named", "issued_split") and m.group("more"):
                 at = m.start("more")
@@ -256,7 +266,7 @@ def chunk_starts(text: str, size: int) -> list[int]:
 
 
 def chunk_spans(text: str, size: int = 400) -> list[tuple[int, int]]:
-    """The chunks' spans; each reaches two lines into the next, since a value may follow its name there."""
+    """The spans whose trigrams a chunk holds; each reaches two lines into the next. What begins in a chunk is followed to wherever it ends."""
     heads = chunk_starts(text, size)
     out = []
     for lo, hi in zip(heads, [*heads[1:], len(text)]):
@@ -308,6 +318,7 @@ def scan_text(text: str | None, size: int = 400) -> tuple[list[int], str | None]
     edges = [*heads[1:], len(text)]
     starts: set[int] = set()
     masks: set[tuple[int, int]] = set()
+    ends: dict[str, int] = {}
     for k in np.unique(np.searchsorted(heads, at, side="right") - 1):
         # the span of chunk_spans
         lo, hi = heads[k], edges[k]
@@ -316,14 +327,13 @@ def scan_text(text: str | None, size: int = 400) -> tuple[list[int], str | None]
         a, b = np.searchsorted(at, (lo, hi))
         which = candidates(codes[a:b].tolist())
         if which:
-            piece = text[lo:hi]
-            begin, spans = find_values(piece, which)
-            starts |= {lo + x for x, _ in begin}
-            masks |= {(lo + x, lo + y) for x, y in spans}
+            begin, spans = find_values(text, which, lo, edges[k], ends)
+            starts |= {x for x, _ in begin}
+            masks.update(spans)
             if "key_block" in which:
                 for x, y in begin:
-                    if text.startswith("-----BEGIN", lo + x):
-                        masks.update(_key_body(text, lo + y))
+                    if text.startswith("-----BEGIN", x):
+                        masks.update(_key_body(text, y))
     if not starts:
         return [], text
     out = list(text)

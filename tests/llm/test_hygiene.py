@@ -107,6 +107,21 @@ def test_long_and_odd_texts():
     assert credentials.scan_text('secret =\n  "q8Wm-22kd"\n')[0] == [2]
 
 
+SPREAD = 'a = 1\nsecret =\n\n\n\n  "q8Wm-22kd"\nb = 2\napi_key = "Zx81" +\n  "kQpL" +\n  "0sV7" +\n  "pR4e" +\n  "9tYu"\nc("ghp_" +\n "A1b2C3d4" +\n "E5f6G7h8" +\n "I9j0K1l2" +\n "M3n4")\nlogin(\n\n\n\n"bob",\n\n\n"q8Wm-22kd")\nd = 3\n'
+
+
+@pytest.mark.parametrize("text", [SPREAD, "İé " + SPREAD])
+def test_p4_chunk_edges_do_not_matter(text):
+    whole = credentials.scan_text(text, 10**6)
+    assert whole[0] == [6, 8, 13, 25] and not any(x in whole[1] for x in ("q8Wm", "Zx81", "9tYu", "A1b2", "M3n4"))
+    for size in range(1, len(text)):
+        assert credentials.scan_text(text, size) == whole, size
+
+
+def test_p4_long_blanks_take_no_longer():
+    assert credentials.scan_text('api_key = "Zx81kQpL0sV7"' + " \n" * 200_000 + "x\n")[0] == [1]
+
+
 KEY_LINE = "mQ7+kZ2/xV9aBcD4eFgH1iJkL0mNoPqRsTuVwXyZ3456789AbCdEfGhIjKlMnOp\n"
 
 
