@@ -1,7 +1,8 @@
 """Problem 3: the most similar vectors of every vector, by a hash-prefix forest.
 
 Each of ``trees`` trees gives every vector a long hash string: the signs of its products with
-random directions. A tree is the sorted array of these strings, spread over tasks by range. A
+random directions. A tree is the sorted array of these strings, spread over tasks by ranges that are
+nodes of the tree, so that no vector's node crosses a range. A
 vector starts at the longest prefix it shares with others and ascends, one bit at a time for all
 vectors together, until its node holds ``least`` vectors; it is compared with the whole node by
 exact cosine. The best k of all trees are its neighbours.
@@ -146,13 +147,47 @@ def _node(x: np.ndarray, ids: np.ndarray, code: np.ndarray, bits: int, k: int, l
     return out_i, out_s
 
 
+#: Bits of a hash string by which a tree is divided into ranges.
+RANGE_BITS = 12
+
+
+def _ranges(counts: dict[tuple[int, int], int], trees: int, least: int, size: float) -> dict[tuple[int, int], int]:
+    """The range of every (tree, first RANGE_BITS of the code), given how many vectors each holds.
+
+    A range is a node of the tree. Nodes over ``size`` are divided, but only where both halves hold
+    ``least``: so the deepest node of ``least`` members of any vector lies within its range, and ranges change nothing.
+    """
+    out: dict[tuple[int, int], int] = {}
+    number = 0
+    for tree in range(trees):
+        sums = np.zeros(1 << RANGE_BITS, np.int64)
+        for (t, p), c in counts.items():
+            if t == tree:
+                sums[p] = c
+        total = np.r_[0, np.cumsum(sums)]
+        nodes = [(0, 1 << RANGE_BITS)]
+        while nodes:
+            lo, hi = nodes.pop()
+            mid = (lo + hi) // 2
+            left, right = total[mid] - total[lo], total[hi] - total[mid]
+            # an empty half leaves the node as it is
+            if hi - lo > 1 and (not left or not right or left + right > size and min(left, right) >= least):
+                nodes += [(a, b) for a, b, n in ((mid, hi, right), (lo, mid, left)) if n]
+                continue
+            for p in range(lo, hi):
+                if sums[p]:
+                    out[tree, p] = number
+            number += 1
+    return out
+
+
 def _search(bits: int, width: int, k: int, least: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts).combine_chunks()
-        tree = t.column("tree").to_numpy()
+        tree = t.column("part").to_numpy()
         ids = t.column("point").to_numpy()
         code = t.column("code").to_numpy().astype(np.uint64)
         x = _matrix(t.column("vec").combine_chunks(), width)
@@ -191,7 +226,12 @@ def neighbours(vectors: DataFrame, k: int = 5, width: int = 64, trees: int = 12,
     hashed = points.select("point", "vec").mapInArrow(
         _hash_rows(trees, bits, width, mean, seed), "point bigint, tree int, code bigint, vec array<float>"
     )
-    laid = hashed.repartitionByRange(slices(hashed, trees), "tree", "code")
+    prefix = F.shiftright("code", max(0, bits - RANGE_BITS)).cast("int").alias("prefix")
+    counts = {(r["tree"], r["prefix"]): r["count"] for r in hashed.select("tree", prefix).groupBy("tree", "prefix").count().collect()}
+    ranges = _ranges(counts, trees, least, max(8 * least, trees * mean_of["n"] / slices(hashed, trees)))
+    parts = hashed.sparkSession.createDataFrame([(t, p, r) for (t, p), r in ranges.items()], "tree int, prefix int, part int")
+    laid = hashed.withColumn("prefix", prefix).join(F.broadcast(parts), ["tree", "prefix"]).select("point", "part", "code", "vec")
+    laid = laid.repartitionByRange(min(slices(hashed, trees), max(ranges.values()) + 1), "part")
     found = laid.mapInArrow(_search(bits, width, k, least, most), NEAR)
     pairs = found.select("point", F.explode(F.arrays_zip("ids", "sims")).alias("p")).select("point", F.col("p.ids").alias("near"), F.col("p.sims").alias("sim"))
     # Per point at most trees * k rows, so the window has a bound.

@@ -135,6 +135,37 @@ def test_p3_recall_against_brute_force(spark):
     assert all(len(v) == 5 for v in got.values()) and all(abs(s[i, j] - v) < 1e-6 for i, d in got.items() for j, v in d.items())
 
 
+def test_p3_does_not_depend_on_the_number_of_partitions(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, f"h{i}", v.tolist(), 0, "") for i, v in enumerate(rng.standard_normal((250, 64)))], CHUNK)
+    few, was = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "4", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            few.append({(r.id, r.other, r.place) for r in vectors.neighbours(vectors.contents(df)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    x = np.array([r.embedding for r in df.orderBy("chunk_id").collect()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T - 3 * np.eye(250)
+    assert few[0] == few[1] == few[2]  # least is 256, so every node is the whole tree
+    assert few[2] == {(i, int(j), k + 1) for i in range(250) for k, j in enumerate(np.argsort(-s[i])[:5])}
+
+
+def test_p3_ranges_are_nodes():
+    rng = np.random.default_rng(7)
+    code = np.sort(rng.integers(0, 1 << 48, 5000) >> rng.integers(0, 20, 5000)).astype(np.uint64)
+    first = (code >> np.uint64(48 - vectors.RANGE_BITS)).astype(int)
+    parts = vectors._ranges({(0, int(p)): int((first == p).sum()) for p in np.unique(first)}, 1, 40, 300)
+    part = np.array([parts[0, int(p)] for p in first])
+    assert len(set(part.tolist())) > 5
+    lo, hi = vectors._ascend(code, 48, 40)
+    for one in np.unique(part):
+        at = np.flatnonzero(part == one)
+        a, b = vectors._ascend(code[at], 48, 40)
+        assert (a + at[0] == lo[at]).all() and (b + at[0] == hi[at]).all()
+
+
 def test_p3_equal_vectors_and_edges(spark):
     e = [1.0] + [0.0] * 63
     f = [0.6, 0.8] + [0.0] * 62
