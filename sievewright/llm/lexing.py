@@ -22,7 +22,7 @@ LANGUAGES = ("python", "rust", "go", "javascript", "typescript", "java", "c", "r
 OPERATORS = {
     "c": "<<= >>= ... -> ++ -- << >> <= >= == != && || += -= *= /= %= &= |= ^= + - * / % = < > ! & | ^ ~ . , ; : ?",
     "java": ">>>= <<= >>= ... -> :: ++ -- << <= >= == != && || += -= *= /= %= &= |= ^= + - * / % = < > ! & | ^ ~ . , ; : ? @",
-    "javascript": "**= <<= >>= ??= &&= ||= === !== ... => ** ?? ?. ++ -- << <= >= == != && || += -= *= /= %= &= |= ^= + - * / % = < > ! & | ^ ~ . , ; : ? @",
+    "javascript": ">>>= **= <<= >>= ??= &&= ||= === !== >>> ... => ** ?? ?. ++ -- << >> <= >= == != && || += -= *= /= %= &= |= ^= + - * / % = < > ! & | ^ ~ . , ; : ? @",
     "go": "<<= >>= &^= ... := <- ++ -- << >> <= >= == != && || += -= *= /= %= &= |= ^= &^ + - * / % = < > ! & | ^ ~ . , ; :",
     "rust": "<<= >>= ..= ... -> => :: .. << <= >= == != && || += -= *= /= %= &= |= ^= + - * / % = < > ! & | ^ . , ; : ? @ # $",
     "python": "**= //= <<= >>= ... -> := ** // << >> <= >= == != += -= *= /= %= &= |= ^= @= + - * / % = < > & | ^ ~ . , ; : @",
@@ -33,7 +33,12 @@ OPERATORS["typescript"] = OPERATORS["javascript"]
 _STR = r'"(?:[^"\\\n]|\\[\s\S])*"'
 _CHR = r"'(?:[^'\\\n]|\\[\s\S])*'"
 _ID = r"[^\W\d]\w*"
-_NUM = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?)"
+_EXP = r"(?:[eE][+-]?\d[\d_]*)?"
+_HEX = r"0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+"
+_HEX_FLOAT = r"0[xX](?:[0-9a-fA-F_]+\.?[0-9a-fA-F_]*|\.[0-9a-fA-F_]+)[pP][+-]?\d+"
+#: Numbers that may end or begin with their point; Rust's may end with it, but not before a name or a range.
+_POINTED = rf"(?:{_HEX_FLOAT}|{_HEX}|\d[\d_]*(?:\.[\d_]*)?{_EXP}|\.\d[\d_]*{_EXP})"
+_NUMBERS = {"rust": rf"(?:{_HEX}|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?{_EXP})", "ruby": rf"(?:{_HEX}|\d[\d_]*(?:\.\d[\d_]*)?{_EXP})"}
 _SUFFIX = {"c": "[uUlLfF]*", "java": "[lLfFdD]?", "javascript": "n?", "typescript": "n?", "go": "i?", "rust": r"(?:_?[iuf](?:8|16|32|64|128|size))?", "python": "[jJ]?", "ruby": "[ri]?"}
 _BLOCK = {"c": r"/\*", "java": r"/\*", "javascript": r"/\*", "typescript": r"/\*", "go": r"/\*", "rust": r"/\*"}
 #: Longer constructs: what opens them, by language. Their ends are in _state_of.
@@ -44,16 +49,19 @@ _OPENS = {
 }
 _COMMENT = {"python": r"#[^\n]*", "ruby": r"#[^\n]*"}
 _STRINGS = {
-    "python": rf"[rRbBfFuU]{{0,2}}(?:{_STR}|{_CHR})", "ruby": r"%[wWiIqQrxs][\[({<|!](?:[^\])}>|!\\]|\\.)*[\])}>|!]", "rust": r"b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'",
+    "python": rf"[rRbBfFuU]{{0,2}}(?:{_STR}|{_CHR})", "ruby": r"%[wWiIqQrxs](?:\[(?:[^\[\]\\]|\\.|\[[^\]]*\])*\]|\((?:[^()\\]|\\.|\([^)]*\))*\)|\{(?:[^{}\\]|\\.|\{[^}]*\})*\}|<[^>]*>|\|[^|]*\||![^!]*!|/[^/]*/)", "rust": r"b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'",
     "c": f"{_STR}|{_CHR}", "java": f"{_STR}|{_CHR}", "javascript": f"{_STR}|{_CHR}", "typescript": f"{_STR}|{_CHR}", "go": f"{_STR}|{_CHR}",
 }
 _SPECIAL = {
-    "c": r"(?m:^[ \t]*\#[ \t]*(?:include|define|undef|if|ifdef|ifndef|else|elif|endif|pragma|error|line)\b(?:[^\n\\]|\\[\s\S])*)",
+    "c": r"(?m:^[ \t]*\#[ \t]*(?:(?:include|include_next|define|undef|if|ifdef|ifndef|else|elif|elifdef|elifndef|endif|pragma|error|warning|line|ident|embed)\b(?:[^\n\\/]|\\[\s\S]|/(?!\*)|/\*[\s\S]*?\*/)*|$))",
     "rust": r"'[^\W\d]\w*(?!')",
-    "ruby": r"(?m:^=begin\b[^\n]*)|(?m:^__END__\n[\s\S]*)|@@?[^\W\d]\w*|\$[^\W\d]\w*|(?<![\w:)\]]):[^\W\d]\w*[?!]?|[^\W\d]\w*[?!](?![=\w])|[^\W\d]\w*:(?![:\w])",
+    "ruby": r"\$(?:\d+|-\w|[!@&~`'+*$?:\"<>,./\\;=_])(?!\w)|(?m:^=begin\b[^\n]*)|(?m:^__END__\n[\s\S]*)|@@?[^\W\d]\w*|\$[^\W\d]\w*|(?<![\w:)\]]):[^\W\d]\w*[?!]?|[^\W\d]\w*[?!](?![=\w])|[^\W\d]\w*:(?![:\w])",
     "javascript": r"\#[^\W\d]\w*", "typescript": r"\#[^\W\d]\w*",
 }
 _REGEX = re.compile(r"/(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+_REGEX_LINES = re.compile(r"/(?:[^/\\\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+#: Ruby's literals that may also be an operator and a name: only where an operand is due.
+_DUE = re.compile(r"%(?:\[(?:[^\[\]\\]|\\.|\[[^\]]*\])*\]|\((?:[^()\\]|\\.|\([^)]*\))*\)|\{(?:[^{}\\]|\\.|\{[^}]*\})*\})|\?(?:\\.|[^\s\w]|\w(?!\w))")
 _REGEX_LANGS = {"javascript", "typescript", "ruby"}
 _CONFLICT = r"(?m:^(?:<{7}|={7}|>{7}|\|{7})(?=[ \r\n]|\Z)[^\n]*)"
 
@@ -66,7 +74,7 @@ def _master(lang: str) -> re.Pattern:
         ("ws", r"[ \t\r\f\v﻿]+|\\\r?\n"), ("nl", r"\n"), ("conflict", _CONFLICT),
         ("block", _BLOCK.get(lang, r"(?!)")), ("com", _COMMENT.get(lang, r"//[^\n]*")),
         ("opens", _OPENS[lang]), ("str", _STRINGS[lang]), ("special", _SPECIAL.get(lang, r"(?!)")),
-        ("num", rf"{_NUM}{_SUFFIX[lang]}(?!\w)"), ("id", ident), ("open", r"[(\[{]"), ("close", r"[)\]}]"), ("op", ops), ("bad", r"[\s\S]"),
+        ("num", rf"{_NUMBERS.get(lang, _POINTED)}{_SUFFIX[lang]}(?!\w)"), ("id", ident), ("open", r"[(\[{]"), ("close", r"[)\]}]"), ("op", ops), ("bad", r"[\s\S]"),
     ]
     return re.compile("|".join(f"(?P<{k}>{p})" for k, p in parts))
 
@@ -101,6 +109,43 @@ def _past_hole(text: str, pos: int) -> int:
     return -1
 
 
+_FSTRING = re.compile(r"[rRbBuU]?[fF][rR]?(\"\"\"|\'\'\'|\"|')")
+_IN_HOLE = re.compile(r"[{}\[\]()]|[rRbBuUfF]{0,2}(?:\"\"\"|\'\'\'|\"|')")
+
+
+def _past_fstring(text: str, pos: int) -> int:
+    """Behind the f-string that begins at ``pos``, whose holes may hold strings in the same quotes; -1 if it does not end."""
+    m = _FSTRING.match(text, pos)
+    if not m:
+        return -1
+    quote, at = m.group(1), m.end()
+    stop = re.compile(rf"\\[\s\S]|{{{{|}}}}|{{|{quote}" + ("" if len(quote) > 1 else r"|\n"))
+    while s := stop.search(text, at):
+        if s.group() == quote:
+            return s.end()
+        if s.group() == "\n":
+            return -1
+        at = s.end()
+        if s.group() == "{":
+            depth = 1
+            while depth and (h := _IN_HOLE.search(text, at)):
+                at = h.end()
+                if h.group() in ("{", "[", "("):
+                    depth += 1
+                elif h.group() in ("}", "]", ")"):
+                    depth -= 1
+                elif "f" in h.group().lower():
+                    at = _past_fstring(text, h.start())
+                else:
+                    q = h.group().lstrip("rRbBuU")
+                    at = _close(text, at, "q:" + q)[0]
+                if at < 0:
+                    return -1
+            if depth:
+                return -1
+    return -1
+
+
 def _close(text: str, pos: int, state: str, lang: str = "") -> tuple[int, str]:
     """Where the construct of ``state`` ends from ``pos`` on, and the state there."""
     kind, end = state[0], state[2:]
@@ -235,6 +280,9 @@ def _lex(text: str, lang: str, state: str, out: list, pos: int, hole: bool, mark
         if left:
             return left, -1
         pos = end
+    if not pos and not hole and text.startswith("#!") and lang in ("javascript", "typescript", "rust") and not text.startswith("#!["):
+        pos = (text.find("\n") + 1 or n + 1) - 1
+        out.append(("com", text[:pos], 0))
     regexes = lang in _REGEX_LANGS
     last = out[-1] if out else ("nl", "", 0)
     while pos < n:
@@ -256,16 +304,24 @@ def _lex(text: str, lang: str, state: str, out: list, pos: int, hole: bool, mark
                 last, pos, markup = out[-1], t.end(), False  # nothing is tried twice
                 continue
         if regexes and text[pos] == "/" and (last[0] in ("op", "open", "nl", "com") or (last[0] == "id" and last[1] in _BEFORE_REGEX)):
-            r = _REGEX.match(text, pos)
+            r = _REGEX.match(text, pos) or lang == "ruby" and last[0] in ("op", "open") and _REGEX_LINES.match(text, pos)
             if r and text[pos:pos + 2] not in ("//", "/*"):
                 out.append(("str", r.group(), pos))
                 last, pos = out[-1], r.end()
                 continue
+        if lang == "ruby" and text[pos] in "%?" and (last[0] in ("op", "open", "nl") or last[0] == "id" and last[1] in _BEFORE_REGEX) and (r := _DUE.match(text, pos)):
+            out.append(("str", r.group(), pos))
+            last, pos = out[-1], r.end()
+            continue
         m = match(text, pos)
         kind, tok = m.lastgroup, m.group()
         if kind == "ws":
             pos = m.end()
             continue
+        if lang == "python" and kind in ("str", "opens") and tok[0] in "fFrR" and (kind == "opens" or tok.count("{") != tok.count("}")) and (end := _past_fstring(text, pos)) > 0:
+            out.append(("str", text[pos:end], pos))
+            last, pos = out[-1], end
+            continue
         if kind in ("opens", "block") or (kind == "special" and tok.startswith("=begin")):
             if tok.startswith("<<") and lang == "ruby":
                 if last[0] in ("id", "num", "close") and not tok[2:3] in "~-":

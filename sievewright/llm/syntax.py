@@ -1,21 +1,22 @@
 """Problem 6: source files that do not parse.
 
-Every file is lexed and checked whole, whatever its size: strings, comments and brackets first, then
-the balanced statements by local grammars: which tokens may follow which, inside which bracket and
-statement; Python's statements are parsed one by one in a normalised form, and their indentation is
-followed.
-
-Texts that come in chunks: a chunk is a map from the lexer state it may be entered in to (state it is
-left in, brackets it closes that were opened before, brackets it leaves open, first fault). Such maps
-compose associatively (``state_map``, ``fold``), but a statement across a cut is not seen whole, so
-files are not judged by them.
-
+A file is cut into chunks at lines that begin a declaration of their own. A chunk is a map from the
+lexer state it may be entered in to a summary: the state it is left in, the brackets it closes that
+were opened before, the brackets it leaves open, its last token and its first fault. Summaries
+compose associatively (``fold``), so the chunks of a long file are summarised in different tasks and
+reduced. The reduced file is invalid if it leaves a string, comment or bracket open, or a bracket
+closes another kind.
+
+The reduction also says where no bracket is open and the statement before has ended. Between such
+places stand balanced statements; they are parsed by the local grammars of their language: of what
+may stand between two brackets (``grammars``), of Ruby's lines and words, of Python's logical lines,
+each parsed alone in a normalised form with its indentation followed. One chunk or many, the verdict
+is that of the whole text.
+
+C: of the branches of a conditional directive the first is read (the other one of ``#if 0``).
 Markup in JavaScript and TypeScript is lexed: tags have to match, and the code in its {holes} is
 checked like any other.
 
-A file is invalid if it leaves an open string, comment or bracket, a bracket closes another
-kind, or a statement breaks its grammar.
-
 Defined results: capitals and outer blanks in ``language`` do not matter; a null language means
 that of the path's extension; unknown names, null and empty contents are valid; repeated rows
 count once (a file_id is flagged once).
@@ -33,334 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grammars import fault_of
 from .lexing import entry_states, language_of, scan
 
 PAIRS = {")": "(", "]": "[", "}": "{", "end": "k"}
 
-#: Words that begin a statement or declaration, so no operand may stand right before them.
-STARTS = {
-    "c": "return if for while do switch case default break continue goto typedef struct union enum static const extern inline unsigned signed long int short char float double void register volatile sizeof else",
-    "java": "return if for while do switch case default break continue throw try catch finally class interface enum record package import public private protected static final abstract native synchronized transient volatile strictfp long int short byte char float double boolean void new else throws extends implements assert",
-    "javascript": "return if for while do switch case default break continue throw try catch finally class function const let var import export new delete typeof void else extends yield await debugger with",
-    "go": "return if for switch case default break continue go defer select func var const type package import range map chan struct interface goto fallthrough else",
-    "rust": "return if for while loop match break continue let fn pub use mod struct enum trait impl const static unsafe extern type where mut ref move dyn async await else crate",
-}
-STARTS["typescript"] = STARTS["javascript"]
-STARTS = {k: frozenset(v.split()) for k, v in STARTS.items()}
-#: Words that join two operands or follow one.
-JOINS = {
-    "c": "else", "java": "else instanceof extends implements throws catch finally", "javascript": "else in of instanceof extends catch finally from as", "go": "else range",
-    "rust": "else in as where", "typescript": "else in of instanceof extends implements catch finally from as is satisfies while", "ruby": "",
-}
-JOINS = {k: frozenset(v.split()) | {"while"} for k, v in JOINS.items()}
-#: Words that are names or modifiers by context; nothing is concluded from them.
-LOOSE = {
-    "javascript": "async get set static of from as", "java": "record var yield sealed permits non default", "go": "", "rust": "union auto default macro_rules raw", "c": "",
-    "typescript": "async get set static of from as type interface enum readonly declare abstract namespace private public protected keyof is infer implements module override asserts unique out accessor",
-}
-LOOSE = {k: frozenset(v.split()) for k, v in LOOSE.items()}
-CONTROL = {"c": {"if", "for", "while", "switch"}, "java": {"if", "for", "while", "switch", "catch", "synchronized"}, "javascript": {"if", "for", "while", "switch", "with"}, "go": set(), "rust": set()}
-CONTROL["typescript"] = CONTROL["javascript"]
-BRACED = {"go": {"if", "for", "switch", "select", "func"}, "rust": {"if", "for", "while", "loop", "match"}}
-TYPES = {
-    "c": frozenset("static const extern inline unsigned signed long int short char float double void register volatile struct union enum restrict typedef".split()),
-    "java": frozenset("public private protected static final abstract native synchronized transient volatile long int short byte char float double boolean void var".split()),
-}
-PRIMITIVE = frozenset("long int short byte char float double boolean void".split())
-PREFIX = {"c": {"+", "-", "*", "&", "!", "~", "++", "--", "...", "."}, "java": {"+", "-", "!", "~", "++", "--", "@"}, "javascript": {"+", "-", "!", "~", "++", "--", "...", "@"}, "go": {"+", "-", "*", "&", "!", "^", "<-", "...", "~"}, "rust": {"-", "*", "&", "&&", "!", "|", "||", "..", "..=", "...", "::", "#", "$", "?", "<", "<<", "_", "=>"}}
-PREFIX["typescript"] = PREFIX["javascript"] | {"|", "&", "<", "?"}
-POSTFIX = {"c": {"++", "--"}, "java": {"++", "--"}, "javascript": {"++", "--"}, "typescript": {"++", "--", "!"}, "go": {"++", "--", "..."}, "rust": {"?"}}
-JOINED = {"rust": {"*", "&", "+", "=>"}, "c": {"*", "&", "..."}, "go": {"..."}, "java": {"...", "*"}, "javascript": set(), "typescript": {"?", "-?"}}
-SEMICOLON = {"c", "java", "rust"}
-
-
-def _braces(tokens: list, lang: str) -> str | None:
-    """The first fault of a brace language's statements; brackets opened elsewhere are let be."""
-    starts, joins, loose, control = STARTS[lang], JOINS[lang], LOOSE[lang], CONTROL[lang]
-    prefix, postfix, closing = PREFIX[lang], POSTFIX[lang], JOINED[lang]
-    # a bracket: [text, role, ternaries, first word of the statement around it, place]
-    stack: list[list] = []
-    state = "start"  # start: a statement may begin; op: an operand must follow; operand; either
-    first = ""       # first word of the statement
-    since = 0        # tokens since the statement began
-    declared = False  # C, Java: two names in a row were read as a declaration
-    colon_ok = 0
-    awaits = ""      # a control word whose bracket or brace is due
-    prev = ("nl", "", 0)
-    line_break = False
-    sig = [t for t in tokens if t[0] != "com"]
-    for i, (kind, tok, _) in enumerate(sig):
-        if kind == "nl":
-            line_break = True
-            if lang == "go" and awaits in BRACED["go"] and awaits != "func" and state in ("operand", "either") and not (stack and stack[-1][0] in "(["):
-                return "no brace on the line"
-            if lang in ("go", "javascript", "typescript") and state in ("operand", "either") and not (stack and stack[-1][0] in "(["):
-                state = "soft"
-            continue
-        if kind == "bad":
-            return f"stray {tok!r}"
-        if kind == "conflict":
-            return "conflict marker"
-        top = stack[-1] if stack else None
-        inside = top[0] if top else ""
-        word = tok if kind == "id" else ""
-        # -------- words and literals
-        if kind in ("id", "num", "str", "special"):
-            if lang == "c" and kind == "special":
-                state, prev, line_break, since, declared = "start", (kind, tok, 0), False, 0, False
-                continue
-            if awaits in control and awaits != "":
-                if not (lang in ("javascript", "typescript") and word == "await"):
-                    return f"{awaits} without bracket"
-            if word in loose:
-                if state in ("start", "soft"):
-                    first, since, declared = word, 0, False
-                state, prev, line_break = "either", (kind, tok, 0), False
-                since += 1
-                continue
-            if lang == "java" and word in PRIMITIVE and prev[1] in PRIMITIVE:
-                return f"{prev[1]} {word}"
-            if prev[1] == "@" and kind != "id" and lang in ("java", "javascript", "typescript"):
-                return "@ without a name"
-            if word and inside == "{" and lang in ("javascript", "typescript") and prev[1] in ("{", ",") and i + 1 < len(sig) and sig[i + 1][1] == ":":
-                state, prev, line_break = "operand", (kind, tok, 0), False  # a key, whatever its name
-                since += 1
-                continue
-            if word and (prev[1] == "@" or prev[0] == "annot" and prev[1] == ".") and lang in ("java", "javascript", "typescript"):
-                state, prev, line_break = "start", ("annot", tok, 0), False  # an annotation's name
-                continue
-            is_start = word in starts and not (prev[1] == "." or prev[1] == "?." or (prev[1] == "::" and lang != "c"))
-            after_operand = state == "operand"
-            if is_start:
-                if after_operand and word not in joins and prev[0] != "str":
-                    if not (lang == "go" and word in ("struct", "interface", "map", "chan", "func")) and not (lang == "c" and prev[1] == ")" and top and top[1] == "cast"):
-                        if not (lang in TYPES and word in TYPES[lang] and since <= 1 and prev[0] == "id") and not (lang == "rust" and word in ("const", "mut", "await", "dyn")):
-                            return f"{prev[1][:20]} {word}"
-                if state == "op" and word in ("return", "let", "const", "var", "import", "export", "package", "pub", "use", "break", "continue", "else", "default") and prev[1] not in ("=>", ":", "->", "*", "(", ",", "<", "&", "|", "!", "=") and lang not in ("rust", "c", "go"):
-                    return f"{prev[1]} {word}"
-                if state in ("start", "soft") or (word in ("let", "const", "var", "return", "if", "for", "while", "fn", "func", "function") and state == "either"):
-                    first, since, declared = word, 0, False
-                if word in control:
-                    awaits = word
-                if word in BRACED.get(lang, ()):
-                    awaits = word
-                if word == "export" and lang in ("javascript", "typescript"):
-                    nxt = sig[i + 1] if i + 1 < len(sig) else ("nl", "", 0)
-                    if nxt[0] == "id" and nxt[1] not in starts | loose:
-                        return "export of nothing"
-                since += 1
-                state = "either" if word in ("return", "break", "continue", "default", "else", "yield", "super", "static", "crate", "type", "await", "interface", "struct", "fallthrough", "void", "class") else "op"
-                if word in TYPES.get(lang, ()) or lang == "go" and word in ("map", "chan", "func", "select", "for", "switch", "import", "package") or lang == "rust" or word in ("import", "export", "do", "try", "finally", "function", "case", "catch", "new", "let", "const", "var"):
-                    state = "either"
-                prev, line_break = (kind, tok, 0), False
-                continue
-            if word in joins and state in ("operand", "either", "soft"):
-                state, prev, line_break = "either", (kind, tok, 0), False
-                continue
-            if after_operand:
-                ok = False
-                if kind == "str" and prev[0] == "str" and lang == "c":
-                    ok = True
-                elif lang in TYPES:
-                    # Type name: the first name opens the statement, a bracket or a list of parameters
-                    two = kind == "id" and prev[0] == "id" and prev[1] not in ("true", "false", "null", "this")
-                    ok = two and not declared and (since <= 1 or sig_before(sig, i - 2) in TYPES[lang] or inside == "(" and sig_before(sig, i - 2) in ("(", ",", "final", "|"))
-                    if ok and inside != "(":
-                        nxt = next((t for t in sig[i + 1:i + 3] if t[0] != "nl"), ("nl", "", 0))
-                        if nxt[1] not in ("=", ";", ",", "(", "[", ":", ")", "{") and nxt[0] != "nl":
-                            return f"{prev[1]} {tok} {nxt[1][:9]}"
-                        if nxt[1] == "(" and lang == "java" and any(b[1] == "body" for b in stack):
-                            return "call after a name"
-                        declared = True
-                    if kind == "id" and prev[1] in (">", "]", "*"):
-                        ok = True
-                    if prev[1] == ")" and top is not None and kind in ("id", "num", "str"):
-                        ok = ok or prev[2] in ("ctrl", "cast")
-                    elif prev[1] == ")":
-                        ok = ok or prev[2] in ("ctrl", "cast")
-                elif lang == "go":
-                    spec = first in ("var", "const", "type", "func", "import", "package", "chan") or any(b[1] in ("fields", "group", "params") for b in stack[-2:])
-                    ok = spec and kind in ("id", "str") or prev[1] == "]" or prev[1] == "." and kind == "str"
-                    if prev[0] == "id" and first in ("package", "func") and inside == "" and since > 2 and first == "package":
-                        ok = False
-                elif lang == "rust":
-                    ok = kind == "special" or prev[1] == "]" and prev[2] == "attr"
-                elif lang in ("javascript", "typescript"):
-                    ok = prev[1] == ")" and prev[2] == "ctrl" or kind == "str" and tok.startswith("`")
-                if not ok:
-                    return f"{prev[1][:20]} {tok[:20]}"
-            if state in ("start", "soft"):
-                first, since, declared = word, 0, False
-            since += 1
-            state = "either" if kind == "special" else "operand"
-            if prev[0] == "id" and prev[1] in PRIMITIVE and lang in TYPES and kind == "id":
-                declared = since > 1 or declared
-            prev, line_break = (kind, tok, 0), False
-            continue
-        # -------- brackets
-        if kind == "open":
-            role = ""
-            if tok == "(":
-                if prev[0] == "annot":
-                    role = "ctrl"
-                elif awaits in control and awaits:
-                    role, awaits = ("for" if awaits == "for" else "ctrl"), ""
-                elif lang == "go" and first == "func":
-                    role = "params"
-                elif lang == "go" and prev[1] in ("import", "var", "const", "type"):
-                    role = "group"
-                elif first in ("function", "fn") or prev[1] in ("function", "fn"):
-                    role = "head"
-                elif state in ("op", "start", "either") and (prev[0] != "id" or prev[1] in starts):
-                    role = "paren"
-            elif tok == "{":
-                if awaits in control and awaits:
-                    return f"{awaits} without bracket"
-                awaits = ""
-                if lang == "go" and prev[1] in ("struct", "interface"):
-                    role = "fields"
-                elif prev[1] in ("=", ",", "(", "[", "return", "{", ":", "]", "...") and lang != "rust" and not (prev[1] == "{" and inside != "{"):
-                    role = "init" if prev[1] not in ("{", ":", "]") or lang in ("javascript", "typescript", "go") or top and top[1] == "init" or prev[1] == "]" else "block"
-                elif prev[1] == ")" and lang in ("java", "c"):
-                    role = "body"
-                else:
-                    role = "block"
-                if lang == "java" and state == "operand" and first in ("enum",):
-                    role = "init"
-                if lang == "c" and first == "enum":
-                    role = "init"
-            elif tok == "[" and lang == "rust" and prev[1] in ("#", "!"):
-                role = "attr"
-            stack.append([tok, role, 0, first, i])
-            state = "start" if tok == "{" else "first"
-            if tok == "{":
-                first, since, declared = "", 0, False
-            prev, line_break = (kind, tok, 0), False
-            if tok != "{":
-                since += 1
-            continue
-        if kind == "close":
-            if state == "op" and prev[1] not in closing and prev[1] != ",":
-                return f"{prev[1]} {tok}"
-            if prev[1] == "," and tok == ")" and lang in ("c", "java"):
-                return ", )"
-            role = ""
-            if stack:
-                if stack[-1][0] != PAIRS[tok]:
-                    return f"{stack[-1][0]} {tok}"
-                was = stack.pop()
-                role = {"for": "ctrl"}.get(was[1], was[1])
-                if tok == "}":
-                    first_of = was[3]
-                    if lang in ("c", "java") and was[1] in ("block", "body") and state in ("operand", "either") and prev[1] not in ("}", ";", "{", ":") and prev[0] != "special":
-                        return f"{prev[1][:20]} }}"
-                    if awaits:
-                        return f"{awaits} without brace"
-                    whole = was[1] in ("block", "body") or first_of == "enum"
-                    first, since, declared = ("" if whole else first_of), (0 if whole or was[1] != "init" else 5), False
-                if role == "paren" and lang in TYPES and all(t[0] in ("open", "id", "nl") or t[1] in ("*", "[", "]", ".", "<", ">", "const") for t in sig[was[4] + 1:i]):
-                    role = "cast"
-            elif tok == "}":
-                first, since, declared = "", 0, False
-            state = "either" if tok == "}" or role == "attr" else "operand"
-            if tok == ")" and role in ("ctrl",):
-                state = "either"
-                first, since, declared = "", 0, False
-            prev, line_break = (kind, tok, role), False
-            continue
-        # -------- operators
-        if prev[0] == "annot" and tok == ".":
-            prev = ("annot", ".", 0)
-            continue
-        if prev[1] == "@" and lang in ("java", "javascript", "typescript"):
-            return f"@ {tok}"
-        if tok == ";":
-            if inside in ("(", "[") and not (top[1] == "for") and not (lang == "rust" and inside == "[") and not (lang == "go" and top[1] == "group"):
-                return f"; in {inside}"
-            if state == "op" and prev[1] not in ("++", "--", "*", "&", "return"):
-                return f"{prev[1]} ;"
-            if awaits and lang != "go":
-                return f"{awaits} ;"
-            if top and top[1] == "for":
-                state = "first"
-            else:
-                state = "start"
-                first, since, declared = "", 0, False
-            prev, line_break = (kind, tok, 0), False
-            continue
-        if tok == ",":
-            if state == "op" and prev[1] not in closing and not (lang in ("javascript", "typescript") and inside == "["):
-                return f"{prev[1]} ,"
-            if state == "first" and inside == "(":
-                return "( ,"
-            state, prev, line_break = "op", (kind, tok, 0), False
-            since = 5 if inside != "(" else since
-            continue
-        if tok in ("?",) and lang in ("c", "java", "javascript", "typescript"):
-            if top is not None:
-                top[2] += 1
-            else:
-                colon_ok += 1
-        if tok == ":" and lang == "javascript":
-            if top is not None and top[2] > 0:
-                top[2] -= 1
-            elif top is None and colon_ok > 0:
-                colon_ok -= 1
-            elif inside in ("(", "[") or first in ("let", "const", "var", "return") or (prev[1] == ")" and top is None):
-                return f"{prev[1][:20]} :"
-        if state in ("op", "start", "soft", "first"):
-            if state == "soft" and tok in postfix and lang != "go":
-                pass
-            elif state == "soft" and lang in ("javascript", "typescript") and tok not in ("=", ":=", "?"):
-                pass
-            elif state == "soft" and tok == ":" or tok == "." and lang == "c" and inside == "{":
-                pass
-            elif tok == "=" and prev[1] in closing | {">"} or tok == ">" and prev[1] in ("?", ",", "<", ">") or tok == "|" and lang == "rust" or prev[1] in (">", "<"):
-                pass
-            elif tok == ":" and (prev[1] in ("default", "?") or lang == "go" and inside == "[") or tok in ("::",) and lang == "java" or tok == "*" and prev[1] in ("import", "export", "*", "function", "yield", ".") or tok == "?" and lang == "typescript":
-                pass
-            elif tok in prefix:
-                pass
-            else:
-                return f"{prev[1][:20] or 'start'} {tok}"
-            if state in ("start", "soft"):
-                first, since, declared = "", 1, False
-            state = "op"
-        elif tok in postfix and state in ("operand", "either"):
-            state = "operand"
-        elif tok in (">", ">>", "*", "&", "=>", "->") or tok == "::" or tok == "?" or tok == "!" or tok == ":":
-            if tok == "->" and lang in ("javascript", "typescript"):
-                return "->"
-            if tok == "!" and lang not in ("rust", "typescript"):
-                return f"{prev[1][:20]} !"
-            state = "either" if tok in (">", ">>", "?", "!") or tok == "*" and lang in ("c", "go", "rust") or tok == "&" and lang in ("c", "rust") else "op"
-            if tok == "*" and lang in ("java", "javascript", "typescript") and prev[1] not in (".",):
-                state = "op"
-            if tok == "::" and lang == "rust" or tok == ":" and lang in ("go", "c", "java", "javascript", "typescript"):
-                state = "either"
-            if tok == ":" and first in ("case", "default"):
-                state, first, since = "start", "", 0
-        else:
-            if tok == "." and state == "operand" and prev[0] == "num" and lang != "rust":
-                return f"{prev[1]} ."
-            state = "op"
-        if awaits in control and awaits:
-            return f"{awaits} without bracket"
-        since += 1
-        prev, line_break = (kind, tok, 0), False
-    if state == "op" and prev[1] not in closing:
-        return f"{prev[1]} at the end"
-    if awaits and awaits != "func":
-        return f"{awaits} at the end"
-    return None
-
-
-def sig_before(sig: list, i: int) -> str:
-    while i >= 0 and sig[i][0] == "nl":
-        i -= 1
-    return sig[i][1] if i >= 0 else ""
-
-
 # ------------------------------------------------------------------ Ruby
 
 #: Ruby's words.
@@ -378,7 +56,14 @@ def _ruby(tokens: list) -> tuple[list[str], list[str], str | None]:
     commands = 0
     sig = [t for t in tokens if t[0] != "com"]
     in_def, for_open = False, False
-    for kind, tok, _ in sig:
+    edge, dotted, before = 0, False, ""  # where the token before ends; of a command: whether its receiver has a dot
+    for kind, tok, at in sig:
+        touches, edge = at == edge, at + len(tok)
+        if in_def and tok == "=" and stack and stack[-1] == "k" and prev != "def":
+            if not touches:  # a definition without an end
+                stack.pop()
+                in_def, state, prev = False, "op", tok
+            continue
         if kind == "nl":
             if for_open:
                 return closers, stack, "for without in"
@@ -394,7 +79,7 @@ def _ruby(tokens: list) -> tuple[list[str], list[str], str | None]:
         if kind == "conflict":
             return closers, stack, "conflict marker"
         if tok == ";":
-            state, at_start, prev, commands = "start", True, tok, 0
+            state, at_start, prev, commands, in_def = "start", True, tok, 0, False
             continue
         if kind == "id" and prev not in (".", "&.", "::", "def") and not (in_def and prev == "def"):
             if tok == "end":
@@ -444,15 +129,18 @@ def _ruby(tokens: list) -> tuple[list[str], list[str], str | None]:
                 continue
         if kind in ("id", "num", "str", "special"):
             if state == "operand":
-                command = commands == 0 and prev_kind == "id" and not any(b == "(" for b in stack[-1:])
+                command = commands <= (1 if dotted else 0) and prev_kind == "id" and not any(b == "(" for b in stack[-1:])
                 if tok in ("and", "or", "not", "rescue"):
                     state, prev = "op", tok
                     continue
                 if not (command or prev in RUBY_PREFIX or prev_kind == "str" and kind == "str" or kind == "special" and tok.endswith(":")):
                     return closers, stack, f"{prev[:20]} {tok[:20]}"
+                if not commands:
+                    dotted = before == "."
                 commands += 1
             if at_start:
-                commands = 0
+                commands, dotted = 0, False
+            before = prev
             state, at_start, prev, prev_kind = "operand", False, tok, kind
             if kind == "special" and tok.endswith(":"):
                 state = "op"
@@ -508,7 +196,7 @@ _FOLLOWS = {"elif": {"if", "elif"}, "else": {"if", "elif", "for", "while", "exce
 def _python_statement(shape: str, word: str) -> bool:
     text = shape
     if shape.endswith(":"):
-        text += ("\n  pass" if word == "case" else "\n pass")
+        text += "\n case x:\n  pass" if word == "match" else "\n  pass" if word == "case" else "\n pass"
     if word == "try":
         text += "\nfinally:\n pass"
     text = _CLAUSE.get(word, "") + text
@@ -523,8 +211,8 @@ def _python_statement(shape: str, word: str) -> bool:
             return False
 
 
-def _python(text: str, tokens: list, whole: bool) -> str | None:
-    """The first fault of the Python statements; ``whole`` if the chunk is the whole file."""
+def _python(text: str, tokens: list) -> str | None:
+    """The first fault of the statements of a balanced text."""
     depth, line = 0, []
     levels, due = [], False
     last: dict[int, str] = {}
@@ -553,7 +241,7 @@ def _python(text: str, tokens: list, whole: bool) -> str | None:
         if text[begin:start].startswith("﻿"):
             indent = 0
         if not levels:
-            if whole and indent:
+            if indent:
                 return "indent at the start"
             levels = [indent]
         if due:
@@ -565,13 +253,11 @@ def _python(text: str, tokens: list, whole: bool) -> str | None:
         while indent < levels[-1]:
             last.pop(levels.pop(), None)
             if not levels:
-                levels = [indent]
-                if whole:
-                    return "dedent"
+                return "dedent"
         if indent != levels[-1]:
             return "dedent to no block"
         word = line[0][1] if line[0][0] in ("id", "op") else ""
-        if word in _FOLLOWS and last.get(indent, "" if whole else word) not in _FOLLOWS[word] | ({word} if not whole else set()):
+        if word in _FOLLOWS and last.get(indent, "") not in _FOLLOWS[word]:
             return f"{word} without its clause"
         shape = " ".join(
             t if k in ("op", "open", "close") or t in _PYTHON_WORDS else "x" if k == "id" else "0" if k == "num" else "'s'" for k, t, _ in line
@@ -581,54 +267,119 @@ def _python(text: str, tokens: list, whole: bool) -> str | None:
         last[indent] = word
         due = line[-1][1] == ":" and line[-1][0] == "op"
         line = []
-    if whole and due:
+    if due:
         return "no block at the end"
     return None
 
 
 # ------------------------------------------------------------------ chunks
 
-def summarise(text: str, lang: str, state: str = "", whole: bool = True, kept: _Shared | None = None) -> tuple[str, str, str, str | None]:
-    """(state at the end, closers, openers, first fault) of a chunk entered in ``state``; its tokens go to ``kept`` if given."""
-    tokens, left = scan(text, lang, state, kept, markup=not text.lstrip().startswith("<"))
-    if kept is not None:
-        tokens = kept.kept
-    if left and whole and not left.startswith("l:=end"):
-        return left, "", "", "left open"
-    if lang == "ruby":
-        closers, openers, fault = _ruby(tokens)
-        return left, " ".join(closers), " ".join(openers), fault
-    closers, openers, fault = [], [], None
+#: Words that begin a declaration or statement of its own at the left margin.
+_BEGIN = {
+    "python": "def class import from if for while with try async @",
+    "rust": "pub fn use mod struct enum trait impl const static unsafe extern type async #[",
+    "go": "func type var const import",
+    "javascript": "function class import export const let var async if for while switch try",
+    "java": "public private protected class interface enum record import abstract final @",
+    "c": "static extern typedef struct union enum int void char long unsigned const inline #",
+    "ruby": "def class module require require_relative",
+}
+_BEGIN["typescript"] = _BEGIN["javascript"] + " interface type enum declare namespace abstract"
+
+
+@lru_cache(maxsize=None)
+def _cuts(lang: str) -> re.Pattern:
+    words = [w for w in _BEGIN[lang].split() if w[0].isalpha()]
+    marks = [re.escape(w) for w in _BEGIN[lang].split() if not w[0].isalpha()]
+    return re.compile(rf"(?m)(?<!\\\n)^(?:(?:{'|'.join(words)})\b{''.join('|' + m for m in marks)})")
+
+
+def split_chunks(text: str, size: int, lang: str) -> list[str]:
+    """The text in pieces of at least ``size`` characters, cut where a line begins a declaration."""
+    out, at = [], 0
+    while len(text) - at > size and (m := _cuts(lang).search(text, at + size)):
+        out.append(text[at:m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
+
+_DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(?:(?P<if>if|ifdef|ifndef)|(?P<else>else|elif|elifdef|elifndef)|(?P<end>endif))\b(?P<zero>[ \t]+0[ \t]*$)?")
+
+
+def taken(text: str) -> tuple[str, str | None]:
+    """C with the branches blanked that are not read, and the fault of its conditionals."""
+    if not re.search(r"(?m)^[ \t]*#[ \t]*(?:if|el|endif)", text):
+        return text, None
+    out, stack = [], []  # of each open conditional: whether its branch is read, and whether one has been
+    more = False
+    for line in text.split("\n"):
+        m = _DIRECTIVE.match(line)
+        if more:  # a directive over several lines
+            more = line.endswith("\\")
+            out.append("")
+        elif m:
+            more = line.endswith("\\")
+            if m.group("if"):
+                stack.append([not m.group("zero"), not m.group("zero")])
+            elif not stack:
+                return text, f"{m.group().strip()} without #if"
+            elif m.group("end"):
+                stack.pop()
+            else:
+                stack[-1] = [not stack[-1][1], True]
+            out.append("")
+        else:
+            out.append(line if all(s[0] for s in stack) else "")
+    return "\n".join(out), "#if left open" if stack else None
+
+
+def _brackets(tokens: list) -> tuple[list[str], list[str], str | None]:
+    """Closers of brackets opened before, brackets left open, first fault."""
+    closers, openers = [], []
     for kind, tok, _ in tokens:
         if kind == "open":
             openers.append(tok)
         elif kind == "close":
             if openers:
                 if openers.pop() != PAIRS[tok]:
-                    fault = f"closed by {tok}"
-                    break
+                    return closers, openers, f"closed by {tok}"
             else:
                 closers.append(tok)
-    if fault is None and not (whole and (closers or openers)):
-        fault = _python(text, tokens, whole) if lang == "python" else _braces(tokens, lang)
-    return left, " ".join(closers), " ".join(openers), fault
+        elif kind == "conflict":
+            return closers, openers, "conflict marker"
+        elif kind == "bad":
+            return closers, openers, f"stray {tok[:12]!r}"
+    return closers, openers, None
+
+
+def summarise(text: str, lang: str, state: str = "", markup: bool = True, lexed: tuple[list, str] | None = None) -> tuple[str, str, str, str, str | None]:
+    """(state at the end, closers, openers, last token, first fault) of a chunk entered in ``state``."""
+    tokens, left = lexed or scan(text, lang, state, markup=markup)
+    if lang == "ruby":
+        closers, openers, _ = _ruby(tokens)
+        bad = next((f"stray {t[:12]!r}" if k == "bad" else "conflict marker" for k, t, _ in tokens if k in ("bad", "conflict")), None)
+    else:
+        closers, openers, bad = _brackets(tokens)
+    last = next((t for k, t, _ in reversed(tokens) if k not in ("com", "nl") and not (lang == "c" and k == "special")), "")
+    return left, " ".join(closers), " ".join(openers), last[-1:], bad
 
 
-def state_map(text: str, lang: str, whole: bool) -> dict[str, tuple]:
+def state_map(text: str, lang: str, whole: bool = False) -> dict[str, tuple]:
     """The summary of a chunk for every state it may be entered in; absent states pass through."""
-    return {s: summarise(text, lang, s, whole) for s in ([""] if whole else entry_states(text, lang))}
+    return {s: summarise(text, lang, s) for s in ([""] if whole else entry_states(text, lang))}
 
 
-def fold(a: dict[str, tuple], b: dict[str, tuple]) -> dict[str, tuple]:
-    """Two neighbouring chunks' maps as one; the operation is associative."""
+def _through(m: dict[str, tuple], state: str) -> tuple[str, str, str, str, str | None]:
+    """What a map says of a state; a chunk that cannot end it lies within it."""
+    return m.get(state, (state, "", "", "", None))
 
-    def apply(m: dict, s: str) -> tuple:
-        return m.get(s, (s, "", "", None))
 
+def fold(a: dict[str, tuple], b: dict[str, tuple]) -> dict[str, tuple]:
+    """Two neighbouring chunks' maps as one; the operation is associative."""
     out = {}
     for s in {*a, *b}:
-        mid, close_a, open_a, bad_a = apply(a, s)
-        end, close_b, open_b, bad_b = apply(b, mid)
+        mid, close_a, open_a, last_a, bad_a = _through(a, s)
+        end, close_b, open_b, last_b, bad_b = _through(b, mid)
         stack, close, bad = open_a.split(), close_b.split(), bad_a or bad_b
         while stack and close:
             if stack[-1] != PAIRS[close[0]]:
@@ -636,100 +387,79 @@ def fold(a: dict[str, tuple], b: dict[str, tuple]) -> dict[str, tuple]:
                 break
             stack.pop()
             close.pop(0)
-        out[s] = (end, " ".join([*close_a.split(), *close]), " ".join([*stack, *open_b.split()]), bad)
+        out[s] = (end, " ".join([*close_a.split(), *close]), " ".join([*stack, *open_b.split()]), last_b or last_a, bad)
     return out
 
 
 def verdict(total: dict[str, tuple]) -> str | None:
-    """The fault of a folded file, None if it is valid."""
-    end, closers, openers, fault = total.get("", ("", "", "", None))
+    """The fault of a folded file's strings, comments and brackets; None if there is none."""
+    end, closers, openers, _, fault = _through(total, "")
     if fault:
         return fault
-    if end:
+    if end and not end.startswith("l:=end"):
         return "left open"
     return f"not closed: {openers}" if openers else f"not opened: {closers}" if closers else None
 
 
-def split_chunks(text: str, size: int) -> list[str]:
-    """The text in pieces of about ``size`` characters, cut before unindented lines where there are any."""
-    if len(text) <= size:
-        return [text]
-    out, at = [], 0
-    while len(text) - at > size:
-        cut, look = -1, at + size
-        while look < min(len(text), at + 4 * size):
-            nl = text.find("\n", look)
-            if nl < 0:
-                break
-            if cut < 0:
-                cut = nl + 1
-            if nl + 1 < len(text) and text[nl + 1] not in " \t\r\n":
-                cut = nl + 1
-                break
-            look = nl + 1
-        if cut <= at or cut >= len(text):
-            break
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]
-
+def balanced(maps: list[dict[str, tuple]], lang: str) -> list[int]:
+    """For every chunk the number of its run: between runs no bracket is open and a statement has ended."""
+    out, run, total = [], 0, {"": ("", "", "", "", None)}
+    for k, m in enumerate(maps):
+        state, closers, openers, last, _ = _through(total, "")
+        if k and not state and not openers and not closers and (lang in ("python", "ruby", "go") or last in (";", "}")):
+            run += 1
+        out.append(run)
+        total = fold(total, m)
+    return out
 
-#: Where a statement can begin that is no clause of the one before.
-_OUTER = re.compile(r"(?m)^(?!(?:else|elif|except|finally)\b)[^\s#)\]}]")
 
+def statements(text: str, lang: str, markup: bool = True, lexed: tuple[list, str] | None = None) -> str | None:
+    """The first fault of balanced statements by the local grammars."""
+    tokens, left = lexed or scan(text, lang, markup=markup)
+    if lang == "ruby":
+        return _ruby(tokens)[2]
+    if lang == "python":
+        return _python(text, tokens)
+    return fault_of(tokens, lang)
 
-def _accepted(text: str, lang: str, size: int = 1 << 16) -> bool:
-    """An exact check after the operator: Python's own parser, for files it flagged.
 
-    Statements are parsed in stretches of about ``size`` characters, which keeps the trees small. A
-    stretch that does not parse may end inside of a statement, so it is made longer, up to all that is left.
-    """
-    if lang != "python":
-        return False
-    at, reach = 0, size
-    while at < len(text):
-        cut = _OUTER.search(text, at + reach)
-        end = cut.start() if cut else len(text)
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            try:
-                ast.parse(text[at:end])
-                at, reach = end, size
-            except (SyntaxError, ValueError, MemoryError, RecursionError):
-                if end == len(text):
-                    return False
-                reach = 2 * (end - at)
-    return True
-
-
-class _Shared:
-    """Tokens of a large text: equal ones are one object, and comments are not kept."""
-
-    def __init__(self, places: bool):
-        self.places, self.kept, self.seen, self.last = places, [], {}, None
-
-    def append(self, token: tuple[str, str, int]) -> None:
-        self.last = token
-        kind, tok, at = token
-        if kind != "com":
-            one = self.seen.setdefault((kind, tok), (kind, tok, 0))
-            self.kept.append((one[0], one[1], at) if self.places else one)
-
-    def __getitem__(self, _: int) -> tuple[str, str, int]:
-        return self.last
-
-    def __bool__(self) -> bool:
-        return self.last is not None
+def prepared(text: str, lang: str) -> tuple[str, str | None]:
+    """The text as it is cut into chunks, and a fault found on the way."""
+    text = text.replace("\r\n", "\n")
+    return taken(text) if lang == "c" else (text, None)
 
 
 def check_text(text: str | None, language: str | None, path: str | None, size: int = 1 << 16) -> str | None:
-    """The fault of one file, None if valid. Texts over ``size`` are lexed into shared tokens; the verdict does not depend on it."""
+    """The fault of one file, None if valid; chunks of ``size`` characters and more."""
     lang = language_of(language, path)
     if not text or lang is None:
         return None
-    text = text.replace("\r\n", "\n")
-    fault = verdict({"": summarise(text, lang, kept=_Shared(lang == "python") if len(text) > size else None)})
-    return None if fault and _accepted(text, lang) else fault
+    text, fault = prepared(text, lang)
+    if fault:
+        return fault
+    markup = not text.lstrip().startswith("<")
+    chunks = split_chunks(text, size, lang)
+    if len(chunks) == 1:
+        lexed = scan(text, lang, markup=markup)
+        return verdict({"": summarise(text, lang, "", markup, lexed)}) or statements(text, lang, markup, lexed)
+    maps: list[dict[str, tuple]] = []
+    total: dict[str, tuple] = {"": ("", "", "", "", None)}
+    for c in chunks:
+        state = total[""][0]
+        # here the state is known, so the map has one entry
+        now = {state: summarise(c, lang, state, markup)}
+        maps.append(now)
+        total = {"": fold({"": total[""]}, now)[""]}
+    if fault := verdict(total):
+        return fault
+    runs = balanced(maps, lang)
+    at = 0
+    for run in range(runs[-1] + 1):
+        n = runs.count(run)
+        if fault := statements("".join(chunks[at:at + n]), lang, markup):
+            return fault
+        at += n
+    return None
 
 
 def _checked(size: int):
@@ -746,19 +476,87 @@ def _checked(size: int):
     return run
 
 
+def _cut(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                file_id, repo, path, language, content = (b.column(k)[i].as_py() for k in range(5))
+                lang = language_of(language, path)
+                text, fault = prepared(content, lang) if lang else ("", None)
+                chunks = split_chunks(text, size, lang) if lang and not fault else [""]
+                n = len(chunks)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file_id] * n, pa.int64()), pa.array([repo] * n, pa.string()), pa.array([lang] * n, pa.string()), pa.array([fault] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(chunks, pa.string())],
+                    ["file_id", "repo", "language", "fault", "ord", "chunk"],
+                )
+
+    return run
+
+
+_MAP = "array<struct<entry:string,left:string,closers:string,openers:string,last:string,bad:string>>"
+_ENTRIES = pa.list_(pa.struct([(f, pa.string()) for f in ("entry", "left", "closers", "openers", "last", "bad")]))
+
+
+def _summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        d = b.to_pydict()
+        maps = [[dict(zip(("entry", "left", "closers", "openers", "last", "bad"), (s, *v))) for s, v in state_map(c, la).items()] if la else [] for la, c in zip(d["language"], d["chunk"])]
+        yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in ("file_id", "repo", "language", "fault", "ord")), pa.array(maps, _ENTRIES)], ["file_id", "repo", "language", "fault", "ord", "entries"])
+
+
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("left", "closers", "openers", "last", "bad")
+    for b in batches:
+        faults, runs = [], []
+        for lang, fault, parts in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("language", "fault", "parts"))):
+            maps = [{e["entry"]: tuple(e[n] for n in names) for e in p["entries"]} for p in sorted(parts, key=lambda p: p["ord"])]
+            total: dict[str, tuple] = {"": ("", "", "", "", None)}
+            for m in maps:
+                total = {"": fold(total, m)[""]}
+            fault = fault or (verdict(total) if lang else None)
+            faults.append(fault)
+            runs.append([0] * len(maps) if fault or not lang else balanced(maps, lang))
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("file_id")), pa.array(faults, pa.string()), pa.array(runs, pa.list_(pa.int32()))], ["file_id", "fault", "runs"])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids, faults = [], []
+        for file_id, lang, parts in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("file_id", "language", "parts"))):
+            ids.append(file_id)
+            faults.append(statements("".join(p["chunk"] for p in sorted(parts, key=lambda p: p["ord"])), lang))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(faults, pa.string())], ["file_id", "fault"])
+
+
 OUT = "file_id bigint, repo string, language string, fault string"
 
 
+def _spread(big: DataFrame, chunk: int) -> DataFrame:
+    """The faults of long files: chunks summarised and balanced runs parsed in tasks of their own."""
+    # the chunks are laid out by file and place, so that a long file is many tasks' work
+    chunks = big.mapInArrow(_cut(chunk), "file_id bigint, repo string, language string, fault string, ord int, chunk string").dropDuplicates(["file_id", "ord"])
+    maps = chunks.mapInArrow(_summarised, f"file_id bigint, repo string, language string, fault string, ord int, entries {_MAP}")
+    # one row per file: a summary is as long as the brackets that its chunk leaves open
+    files = maps.groupBy("file_id").agg(
+        F.min("repo").alias("repo"), F.min("language").alias("language"), F.min("fault").alias("fault"), F.collect_list(F.struct("ord", "entries")).alias("parts")
+    )
+    reduced = files.select("file_id", "language", "fault", "parts").mapInArrow(_reduced, "file_id bigint, fault string, runs array<int>")
+    runs = reduced.where("fault is null").select("file_id", F.posexplode("runs").alias("ord", "run"))
+    texts = chunks.where("language is not null").join(runs, ["file_id", "ord"]).groupBy("file_id", "run").agg(F.min("language").alias("language"), F.collect_list(F.struct("ord", "chunk")).alias("parts"))
+    parsed = texts.select("file_id", "language", "parts").mapInArrow(_parsed, "file_id bigint, fault string")
+    faults = reduced.select("file_id", "fault").unionByName(parsed).groupBy("file_id").agg(F.min("fault").alias("fault"))
+    return files.select("file_id", "repo", "language").join(faults, "file_id").select("file_id", "repo", "language", "fault")
+
+
 def checked_files(files: DataFrame, chunk: int = 1 << 16, large: int = 1 << 20) -> DataFrame:
     """(file_id, repo, language, fault) of every file once; fault is null for valid files.
 
-    Files up to ``large`` characters are checked where they are read, larger ones spread over tasks
-    first. Every file is checked whole; over ``chunk`` characters its tokens are shared.
+    Files up to ``large`` characters are reduced in the task that reads them; the chunks of longer
+    ones are spread over tasks. The verdict is the same.
     """
     rows = files.select("file_id", "repo", "path", "language", "content").where("file_id is not null")
     little = rows.where(F.coalesce(F.length("content"), F.lit(0)) <= large)
-    big = rows.where(F.length("content") > large).repartition("file_id")
-    both = little.mapInArrow(_checked(chunk), OUT).unionByName(big.mapInArrow(_checked(chunk), OUT))
+    both = little.mapInArrow(_checked(chunk), OUT).unionByName(_spread(rows.where(F.length("content") > large), chunk))
     return both.groupBy("file_id").agg(F.min("repo").alias("repo"), F.min("language").alias("language"), F.min("fault").alias("fault"))
 
 

@@ -282,10 +282,10 @@ def test_p6_long_python_broken(text):
 
 @pytest.mark.parametrize("text", [LINES + "y = 1.\n" + LINES, LINES + 'y = """\n' + LINES + '"""\nz = 1.\n', LINES + "try:\n    y = 1.\nexcept E:\n    pass\nelse:\n    y = 2.\n", LINES + "y = (\n1.,\n" + "2,\n" * 40_000 + ")\n@d\ndef f(): pass\n"])
 def test_p6_long_python_valid(text):
-    assert syntax.check_text(text, "python", None) is None and syntax._accepted(text, "python", 40)
+    assert syntax.check_text(text, "python", None) is None
 
 
-def test_p6_python_parser_is_asked_at_every_size(spark):
+def test_p6_python_at_every_size(spark):
     rows = [(1, "a.py", "x = 1.\n" * 40), (2, "b.py", "x = 1\n" * 40 + "def f():\n"), (3, "c.py", "x = 1.\n"), (4, "d.py", "x = 1.\ny = 2 3\n" * 40)]
     df = spark.createDataFrame([(k, "r", p, "python", t) for k, p, t in rows], "file_id bigint, repo string, path string, language string, content string")
     assert {r.file_id for r in syntax.checked_files(df, chunk=50, large=100).where("fault is not null").collect()} == {2, 4}
@@ -293,7 +293,7 @@ def test_p6_python_parser_is_asked_at_every_size(spark):
 
 def test_folding_is_associative():
     text = VALID["rust"] * 2
-    maps = [syntax.state_map(c, "rust", False) for c in syntax.split_chunks(text, 30)]
+    maps = [syntax.state_map(c, "rust") for c in syntax.split_chunks(text, 30, "rust")]
     left = maps[0]
     for m in maps[1:]:
         left = syntax.fold(left, m)
