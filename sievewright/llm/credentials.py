@@ -3,8 +3,10 @@
 The index lists, for every chunk of a text, the trigrams it holds of those that any detector
 needs. What a detector needs is derived from its regular expression: literal runs become
 conjunctions of their trigrams, alternations become disjunctions, optional parts ask for nothing.
-A detector runs only on chunks whose postings satisfy its query; the value it finds is then judged
-(stand-ins, masked values, labels and names looked up elsewhere are not credentials).
+Postings are bits in the row of their text, or a table of their own that is kept and used again;
+they are intersected by built-in expressions, and a detector runs only on the chunks that are left.
+The value it finds is then judged (stand-ins, masked values, labels and names looked up elsewhere
+are not credentials).
 
 A text is masked in place: every character of a value becomes ``*`` but for the pieces' quotes, so
 line breaks and the code around stay as they were.
@@ -22,45 +24,48 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _Q = r"""(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)"""
 _MORE = r"""(?P<more>(?:\s*(?:[+,.]\s*)?["'`](?:[^"'`\\\n]|\\.)*["'`])*)"""
 #: Words of names whose value is a credential.
 _NAMES = (
-    r"(?:passw(?:or)?d|passphrase|passwort|kennwort|contrase(?:n|ñ)a|(?:smtp|db|ftp|mail|user|root|admin|login|imap|ldap)_?pass(?![a-z])|pwd|secret|credential"
+    r"(?:passw(?:or)?d|passphrase|passwort|kennwort|contrase(?:n|ñ)a|(?:smtp|db|ftp|mail|user|root|admin|login|imap|ldap)_?pass(?-i:(?![a-z]))|pwd|secret|credential"
     r"|(?:api|access|signing|sign|hmac|secret|private|encryption|encrypt|master|auth|deploy|storage|account|service)_?key|token|bearer)"
 )
 #: The shapes by which issuers make their keys known.
 _ISSUED = (
     r"(?:(?:AKIA|ASIA)[A-Z0-9]{12,}|(?:ghp_|gho_|ghu_|ghs_|ghr_)[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abprs]-[\w-]{10,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{10,}"
-    r"|rk_live_[A-Za-z0-9]{10,}|AIza[\w-]{30,}|npm_[A-Za-z0-9]{20,}|vlt\.[A-Za-z0-9_-]{16,}|hvs\.[\w-]{16,}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{4,}\.[\w-]{8,})"
+    r"|[a-z]{2}_live_[A-Za-z0-9]{16,}|AIza[\w-]{30,}|npm_[A-Za-z0-9]{20,}|vlt\.[A-Za-z0-9_-]{16,}|hvs\.[\w-]{16,}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{4,}\.[\w-]{8,})"
 )
 #: name -> expression with the value in group v; flags are case-insensitive where the name is free text
 DETECTORS: dict[str, tuple[str, int]] = {
     "key_block": (r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)", 0),
-    "issued": (rf"(?<![A-Za-z0-9+/=_])(?P<v>{_ISSUED})", 0),
-    "issued_split": (r"""["'`](?P<v>(?:AKIA|ASIA|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|npm_|vlt\.|hvs\.|eyJ)[\w.-]*)["'`](?P<more>(?:\s*(?:[+,.]\s*)?["'`][\w.-]+["'`])+)""", 0),
+    "issued": (rf"(?<![A-Za-z0-9+/_])(?P<v>{_ISSUED})", 0),
+    "issued_split": (r"""["'`](?P<v>(?:AKIA|ASIA|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|glpat-|xox[abprs]-|sk-|[a-z]{2}_live_|AIza|npm_|vlt\.|hvs\.|eyJ)[\w.-]*)["'`](?P<more>(?:\s*(?:[+,.]\s*)?["'`][\w.-]+["'`])+)""", 0),
     "named": (rf"""{_NAMES}(?P<rest>[\w$]{{0,24}})["'\]]{{0,2}}[ \t]*(?::[ \t]*[&\w'<>\[\] .*?]{{1,40}}?[ \t]*)?(?:=>|:=|=|:)\s*(?:[\w.!]{{0,24}}\(\s*)?[brfu&@$]{{0,2}}{_Q}{_MORE}""", re.I),
     "fallback": (rf"""{_NAMES}(?P<rest>\w{{0,24}})(?:["'`\])]{{1,3}}\s*,|["'`\])]{{0,3}}\s*(?:\|\||\?\?|\bor\b))\s*{_Q}""", re.I),
     "url_login": (r"""[a-z][a-z0-9+.-]*://[^\s:/@"'`]*:(?P<v>[^\s/"'`]+)@[A-Za-z0-9\[]""", re.I),
     "url_query": (r"""[?&;](?:access_?token|auth|auth_?token|sig|signature|key|api_?key|token|secret|password|pwd|pass|x-amz-signature|x-amz-security-token|client_secret)=(?P<v>[^\s&"'`;#<>]+)""", re.I),
     "pair": (r"""(?<![\w?&])(?:\w*password|\w*passwd|pwd|pass|secret|api_?key)[ \t]*[=:][ \t]*(?P<v>[^\s"'`;,&(){}\[\]<>]\S*?)(?=[;"'`]|\s|$)""", re.I | re.M),
     "header": (r"""\b(?:bearer|basic|token)[ \t]+(?P<v>[A-Za-z0-9+/_.~=-]{12,})""", re.I),
-    "login_call": (rf"""\b(?:\w*(?:login|log_in)|signin|sign_in|signon|sign_on|logon|authenticate|opensession|open_session|setcredentials?|set_credentials?|connectas|connect_as)\w*!?\(\s*["'`][^"'`\n]*["'`]\s*,\s*{_Q}""", re.I),
+    "login_call": (rf"""\b(?:\w*(?:login|log_in)|signin|sign_in|signon|sign_on|logon|authenticate|opensession|open_session|setcredentials?|set_credentials?|connectas|connect_as|connect)\w*!?\(\s*["'`][^"'`\n]*["'`]\s*,\s*{_Q}""", re.I),
+    "env": (r"""^[ \t]*(?:(?:export|set|ENV|ARG|-e|-[ \t])[ \t]*)?(?:\w*(?:token|secret|credentials?|passphrase)|\w*(?:api|access|signing|secret|private|encryption|master|auth|deploy|account|service)_?key)\w{0,12}=(?P<v>[^\s"'`;,&(){}\[\]<>$]{8,})[ \t]*$""", re.I | re.M),
+    "name_value": (r"""\bname["']?[ \t]*[:=][ \t]*["']?\w*(?:token|secret|password|passwd|passphrase|_key)\w{0,12}["']?,?\s*["']?value["']?[ \t]*[:=][ \t]*["']?(?P<v>[^\s"'`,;{}()<>$]{6,})""", re.I),
+    "auth_pair": (rf"""\bauth\w{{0,12}}[ \t]*=[ \t]*[(\[][ \t]*["'][^"'\n]*["'][ \t]*,[ \t]*{_Q}""", re.I),
     "note_sign_in": (r"""\b(?:sign|log)[ \t]?in[ \t]+as[ \t]+\S+[ \t]+with[ \t]+(?P<v>\S+)""", re.I),
     "note_old_login": (r"""\blogin:?[ \t]+[\w.@-]+[ \t]+/[ \t]+(?P<v>\S+)""", re.I),
     "note_curl": (r"""\bcurl\b[^\n"'`]*?[ \t](?:-u|--user)[ \t]*[\w.@-]+:(?P<v>\S+)""", re.I),
 }
 _COMPILED = {k: re.compile(p, f) for k, (p, f) in DETECTORS.items()}
 #: Where a detector that begins with a name can begin, looked for in lower case, which is faster than without regard to case.
-_NAMED = re.compile(f"(?={_NAMES})")
-_NAMED_ANY = re.compile(f"(?={_NAMES})", re.I)
+_NAMED = re.compile(f"(?={_NAMES.replace('(?-i:(?![a-z]))', '')})")
+_NAMED_ANY = re.compile(_NAMED.pattern, re.I)
 #: The first line of the other detectors that may run over several.
 _HEADS = {
-    "issued_split": re.compile(r"""["'`](?:AKIA|ASIA|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|npm_|vlt\.|hvs\.|eyJ)"""),
-    "login_call": re.compile(r"\b(?:\w*(?:login|log_in)|signin|sign_in|signon|sign_on|logon|authenticate|opensession|open_session|setcredentials?|set_credentials?|connectas|connect_as)\w*!?\(", re.I),
+    "issued_split": re.compile(r"""["'`](?:AKIA|ASIA|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|glpat-|xox[abprs]-|sk-|[a-z]{2}_live_|AIza|npm_|vlt\.|hvs\.|eyJ)"""),
+    "login_call": re.compile(r"\b(?:\w*(?:login|log_in)|signin|sign_in|signon|sign_on|logon|authenticate|opensession|open_session|setcredentials?|set_credentials?|connectas|connect_as|connect)\w*!?\(", re.I),
 }
 
 
@@ -106,14 +111,21 @@ def is_credential(kind: str, value: str, match: re.Match | None = None) -> bool:
         name = match.group(0)[: match.start("rest") - match.start()].lower()
         if name in ("token", "bearer") and re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", v):
             return False
-        if kind == "named" and name in ("token", "bearer") and not (len(v) >= 12 and re.search(r"\d", v) and re.search(r"[A-Za-z]", v)):
+        if kind == "named" and name in ("token", "bearer") and not (re.search(r"\d", v) and re.search(r"[A-Za-z]", v) and (len(v) >= 12 or len(v) >= 8 and re.search(r"[a-z]", v) and re.search(r"[A-Z]", v))):
             return False
     if kind == "header":
         return bool(re.search(r"\d", v) or re.search(r"[a-z]", v) and re.search(r"[A-Z]", v[1:]))
+    if kind in ("env", "name_value"):
+        # an identifier or a path is a name looked up elsewhere
+        if re.fullmatch(r"[a-z][a-z0-9]*(?:[_.-][a-z0-9]+)*|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*|[a-z]\w*(?:\.\w+)+|[A-Za-z]+\d{0,2}|[./~].*|\w+://.*", v) and not re.fullmatch(r"(?=(?:.*\d){4})[0-9a-zA-Z]{20,}", v):
+            return False
+        return bool(re.search(r"\d", v) and re.search(r"[A-Za-z]", v))
     if kind == "pair" and (v.endswith("(") or re.search(r"[()]", v)):
         return False
     if _SIMPLE.match(v):
         return False
+    if kind == "url_login":
+        return True
     return bool(re.search(r"\d", v) or re.search(r"[^\w.-]", v) or re.search(r"[a-z][A-Z]", v) and len(v) >= (12 if kind in ("named", "fallback") else 6))
 
 
@@ -307,33 +319,74 @@ def _key_body(text: str, at: int) -> list[tuple[int, int]]:
     return out
 
 
-def scan_text(text: str | None, size: int = 400) -> tuple[list[int], str | None]:
-    """(line numbers on which values begin, the text masked)."""
-    if not text:
-        return [], text
+def chunk_grams(text: str, size: int = 400) -> list[tuple[int, list[int]]]:
+    """The postings of a text: (where a chunk begins, its trigrams as words of bits) of the chunks that hold any."""
     at, codes = postings(text)
     if not len(at):
-        return [], text
+        return []
+    bit, _ = _bits()
     heads = chunk_starts(text, size)
     edges = [*heads[1:], len(text)]
-    starts: set[int] = set()
-    masks: set[tuple[int, int]] = set()
-    ends: dict[str, int] = {}
+    out = []
     for k in np.unique(np.searchsorted(heads, at, side="right") - 1):
-        # the span of chunk_spans
+        # a chunk holds the trigrams of two lines of the next one too
         lo, hi = heads[k], edges[k]
         for _ in range(2):
             hi = (text.find("\n", hi) + 1) or len(text)
         a, b = np.searchsorted(at, (lo, hi))
-        which = candidates(codes[a:b].tolist())
-        if which:
-            begin, spans = find_values(text, which, lo, edges[k], ends)
-            starts |= {x for x, _ in begin}
-            masks.update(spans)
-            if "key_block" in which:
-                for x, y in begin:
-                    if text.startswith("-----BEGIN", x):
-                        masks.update(_key_body(text, y))
+        held = 0
+        for c in set(codes[a:b].tolist()):
+            held |= bit[c]
+        out.append((lo, [_signed(held >> 64 * w & (1 << 64) - 1) for w in range(_words())]))
+    return out
+
+
+def _signed(word: int) -> int:
+    return word - (1 << 64) if word >> 63 else word
+
+
+def _words() -> int:
+    return -(-len(_index()[2]) // 64)
+
+
+def candidate_mask(words: list[int]) -> int:
+    """The detectors whose queries a chunk's trigrams satisfy, as bits in the order of DETECTORS. The same as mask_column."""
+    held = sum((w & (1 << 64) - 1) << 64 * k for k, w in enumerate(words))
+    return sum(1 << k for k, (_, sets) in enumerate(_bits()[1]) if any(held & m == m for m in sets))
+
+
+def mask_column(words: Column) -> Column:
+    """The detectors whose queries a chunk's words of bits satisfy: conjunctions intersect postings, disjunctions unite them."""
+    total = F.lit(0)
+    for k, (_, sets) in enumerate(_bits()[1]):
+        hit = F.lit(False)
+        for m in sets:
+            held = F.lit(True)
+            for w in range(_words()):
+                if need := _signed(m >> 64 * w & (1 << 64) - 1):
+                    held = held & (F.get(words, F.lit(w)).bitwiseAND(F.lit(need).cast("bigint")) == F.lit(need).cast("bigint"))
+            hit = hit | held
+        total = total + F.when(hit, 1 << k).otherwise(0)
+    return total.cast("int")
+
+
+def verify(text: str, chunks: list[tuple[int, int]], size: int = 400) -> tuple[list[int], str]:
+    """(line numbers on which values begin, the text masked), by the detectors of the candidate chunks (begin, mask) alone."""
+    heads = chunk_starts(text, size)
+    edge = dict(zip(heads, [*heads[1:], len(text)]))
+    starts: set[int] = set()
+    masks: set[tuple[int, int]] = set()
+    ends: dict[str, int] = {}
+    kinds = list(DETECTORS)
+    for lo, mask in sorted(chunks):
+        which = {k for n, k in enumerate(kinds) if mask >> n & 1}
+        begin, spans = find_values(text, which, lo, edge[lo], ends)
+        starts |= {x for x, _ in begin}
+        masks.update(spans)
+        if "key_block" in which:
+            for x, y in begin:
+                if text.startswith("-----BEGIN", x):
+                    masks.update(_key_body(text, y))
     if not starts:
         return [], text
     out = list(text)
@@ -345,18 +398,44 @@ def scan_text(text: str | None, size: int = 400) -> tuple[list[int], str | None]
     return sorted({bisect_right(lines, a) for a in starts}), "".join(out)
 
 
+def scan_text(text: str | None, size: int = 400) -> tuple[list[int], str | None]:
+    """Index, candidates and verification of one text."""
+    if not text:
+        return [], text
+    chunks = [(lo, mask) for lo, words in chunk_grams(text, size) if (mask := candidate_mask(words))]
+    return verify(text, chunks, size) if chunks else ([], text)
+
+
+_POSTED = "record_key string, content string, chunks array<struct<begin:bigint,words:array<bigint>>>"
+
+
+def _posted(hunk: bool, keep: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("begin", pa.int64()), ("words", pa.list_(pa.int64()))]))
+        for b in batches:
+            rows = []
+            for text in b.column(1).to_pylist():
+                if hunk and text:
+                    text = "\n".join(ln[1:] for ln in text.split("\n"))
+                rows.append([{"begin": lo, "words": words} for lo, words in chunk_grams(text)] if text else [])
+            content = b.column(1) if keep else pa.nulls(b.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), content, pa.array(rows, kind)], ["record_key", "content", "chunks"])
+
+    return run
+
+
 def _scanned(hunk: bool, masked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, lines, texts = [], [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for key, text, chunks in zip(*(b.column(k).to_pylist() for k in range(3))):
                 body = text
-                if hunk and text:
+                if hunk and text and chunks:
                     marks = [ln[:1] for ln in text.split("\n")]
                     body = "\n".join(ln[1:] for ln in text.split("\n"))
-                found, out = scan_text(body)
+                found, out = verify(body, [(c["begin"], c["mask"]) for c in chunks]) if chunks else ([], body)
                 if masked:
-                    if hunk and text:
+                    if hunk and text and chunks:
                         out = "\n".join(m + ln for m, ln in zip(marks, out.split("\n")))
                     keys.append(key)
                     lines.append(len(found))
@@ -373,50 +452,42 @@ def _scanned(hunk: bool, masked: bool):
     return run
 
 
-def _indexed(hunk: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _index()[2]
-        for b in batches:
-            keys, starts, grams = [], [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if hunk and text:
-                    text = "\n".join(ln[1:] for ln in text.split("\n"))
-                at, codes = postings(text) if text else ([], [])
-                if not len(at):
-                    continue
-                for lo, hi in chunk_spans(text):
-                    a, z = np.searchsorted(at, (lo, hi))
-                    if z > a:
-                        keys.append(key)
-                        starts.append(lo)
-                        grams.append(sorted({names[c] for c in codes[a:z].tolist()}))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(starts, pa.int64()), pa.array(grams, pa.list_(pa.string()))], ["record_key", "chunk_at", "trigrams"])
-
-    return run
-
-
 def index_table(texts: DataFrame, hunk: bool = False) -> DataFrame:
-    """(record_key, chunk_at, trigrams): the index of texts (record_key, content) as a table to keep.
+    """(record_key, chunk_at, words): the index of texts (record_key, content) as a table to keep.
 
-    A chunk without any needed trigram has no row. Chunks of hunks begin at places in the text without line markers.
+    ``words`` are the trigrams of the chunk as bits, in the order of ``index_grams``. A chunk without
+    any needed trigram has no row. Chunks of hunks begin at places in the text without line markers.
     """
-    return texts.select("record_key", "content").mapInArrow(_indexed(hunk), "record_key string, chunk_at bigint, trigrams array<string>")
+    return texts.select("record_key", "content").mapInArrow(_posted(hunk, False), _POSTED).select("record_key", F.explode("chunks").alias("c")).select("record_key", F.col("c.begin").alias("chunk_at"), F.col("c.words").alias("words"))
+
+
+def index_grams() -> list[str]:
+    """The trigrams that any detector needs, in the order of their bits."""
+    return list(_index()[2].values())
 
 
 def index_candidates(index: DataFrame) -> DataFrame:
     """(record_key, chunk_at, detector): the chunks on which each detector has to run, by built-in expressions alone."""
-    queries, _, names = _index()
-    bit = {g: 1 << k for k, g in enumerate(names.values())}
-    grams = list(names.values())
-    hits = []
-    for kind, q in queries.items():
-        sets = [[g for k, g in enumerate(grams) if m >> k & 1] for m in alternatives(q, bit)]
-        held = [F.size(F.array_intersect("trigrams", F.array(*map(F.lit, g)))) == len(g) for g in sets]
-        any_held = held[0]
-        for h in held[1:]:
-            any_held = any_held | h
-        hits.append(F.when(any_held, F.lit(kind)))
-    return index.select("record_key", "chunk_at", F.explode(F.array_compact(F.array(*hits))).alias("detector"))
+    kinds = F.array(*map(F.lit, DETECTORS))
+    bits = F.array(*[F.lit(1 << n) for n in range(len(DETECTORS))])
+    held = F.filter(kinds, lambda k, i: F.col("mask").bitwiseAND(F.get(bits, i)) != 0)
+    return index.withColumn("mask", mask_column(F.col("words"))).where("mask <> 0").select("record_key", "chunk_at", F.explode(held).alias("detector"))
+
+
+def with_candidates(texts: DataFrame, hunk: bool = False, index: DataFrame | None = None) -> DataFrame:
+    """(record_key, content, chunks): each text with its candidate chunks (begin, mask).
+
+    The postings are made in the pass that reads the texts and stay in their rows, so nothing moves;
+    with ``index``, a kept table of ``index_table``, they come from there by a join over record_key
+    (repeated rows of a key give the same postings).
+    """
+    if index is None:
+        posted = texts.select("record_key", "content").mapInArrow(_posted(hunk, True), _POSTED)
+        held = F.transform("chunks", lambda c: F.struct(c["begin"].alias("begin"), mask_column(c["words"]).alias("mask")))
+        return posted.select("record_key", "content", F.filter(held, lambda c: c["mask"] != 0).alias("chunks"))
+    rows = index.select("record_key", F.col("chunk_at").alias("begin"), mask_column(F.col("words")).alias("mask")).where("mask <> 0").distinct()
+    chunks = rows.groupBy("record_key").agg(F.collect_list(F.struct("begin", "mask")).alias("chunks"))  # bounded by one text
+    return texts.select("record_key", "content").join(chunks, "record_key", "left").select("record_key", "content", F.coalesce("chunks", F.array().cast("array<struct<begin:bigint,mask:int>>")).alias("chunks"))
 
 
 def _texts(files: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -427,14 +498,16 @@ def _texts(files: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return source, hunk
 
 
-def found(files: DataFrame, hunks: DataFrame) -> DataFrame:
-    """(record_kind, record_key, line_no): every line on which a credential's value begins."""
+def found(files: DataFrame, hunks: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(record_kind, record_key, line_no): every line on which a credential's value begins.
+
+    ``index``: kept tables of ``index_table`` for both, if there are any.
+    """
     source, hunk = _texts(files, hunks)
     schema = "record_key string, line_no bigint"
-    return (
-        source.mapInArrow(_scanned(False, False), schema).select(F.lit("source").alias("record_kind"), "*")
-        .union(hunk.mapInArrow(_scanned(True, False), schema).select(F.lit("hunk"), "*")).distinct()
-    )
+    kept = index or (None, None)
+    sides = [with_candidates(t, h, i).where(F.size("chunks") > 0).mapInArrow(_scanned(h, False), schema) for t, h, i in ((source, False, kept[0]), (hunk, True, kept[1]))]
+    return sides[0].select(F.lit("source").alias("record_kind"), "*").union(sides[1].select(F.lit("hunk"), "*")).distinct()
 
 
 def candidate_chunks(files: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -450,7 +523,6 @@ def redacted(files: DataFrame, hunks: DataFrame) -> DataFrame:
     """(record_kind, record_key, n_values, content): every text, its credentials masked."""
     source, hunk = _texts(files, hunks)
     schema = "record_key string, n_values bigint, content string"
-    both = source.mapInArrow(_scanned(False, True), schema).select(F.lit("source").alias("record_kind"), "*").union(
-        hunk.mapInArrow(_scanned(True, True), schema).select(F.lit("hunk"), "*")
-    )
+    sides = [with_candidates(t, h).mapInArrow(_scanned(h, True), schema) for t, h in ((source, False), (hunk, True))]
+    both = sides[0].select(F.lit("source").alias("record_kind"), "*").union(sides[1].select(F.lit("hunk"), "*"))
     return both.groupBy("record_kind", "record_key").agg(F.max("n_values").alias("n_values"), F.min("content").alias("content"))
