@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _Q = r"""(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)"""
@@ -342,7 +342,7 @@ def chunk_grams(text: str, size: int = 400) -> list[tuple[int, list[int]]]:
 
 
 def _signed(word: int) -> int:
-    return word - (1 << 64) if word >> 63 else word
+    return word - (1 << 64) if word >> 63 else word  # as a bigint
 
 
 def _words() -> int:
@@ -350,24 +350,19 @@ def _words() -> int:
 
 
 def candidate_mask(words: list[int]) -> int:
-    """The detectors whose queries a chunk's trigrams satisfy, as bits in the order of DETECTORS. The same as mask_column."""
+    """The detectors whose queries a chunk's trigrams satisfy, as bits in the order of DETECTORS. The same as mask_sql."""
     held = sum((w & (1 << 64) - 1) << 64 * k for k, w in enumerate(words))
     return sum(1 << k for k, (_, sets) in enumerate(_bits()[1]) if any(held & m == m for m in sets))
 
 
-def mask_column(words: Column) -> Column:
-    """The detectors whose queries a chunk's words of bits satisfy: conjunctions intersect postings, disjunctions unite them."""
-    total = F.lit(0)
+@lru_cache(maxsize=None)
+def mask_sql(words: str) -> str:
+    """SQL for the detectors whose queries a chunk's words of bits satisfy: conjunctions intersect postings, disjunctions unite them."""
+    out = []
     for k, (_, sets) in enumerate(_bits()[1]):
-        hit = F.lit(False)
-        for m in sets:
-            held = F.lit(True)
-            for w in range(_words()):
-                if need := _signed(m >> 64 * w & (1 << 64) - 1):
-                    held = held & (F.get(words, F.lit(w)).bitwiseAND(F.lit(need).cast("bigint")) == F.lit(need).cast("bigint"))
-            hit = hit | held
-        total = total + F.when(hit, 1 << k).otherwise(0)
-    return total.cast("int")
+        held = [" AND ".join(f"({words}[{w}] & {need}L) = {need}L" for w in range(_words()) if (need := _signed(m >> 64 * w & (1 << 64) - 1))) or "true" for m in sets]
+        out.append(f"IF({' OR '.join(f'({h})' for h in held)}, {1 << k}, 0)")
+    return "CAST(" + " + ".join(out) + " AS INT)"
 
 
 def verify(text: str, chunks: list[tuple[int, int]], size: int = 400) -> tuple[list[int], str]:
@@ -471,7 +466,7 @@ def index_candidates(index: DataFrame) -> DataFrame:
     kinds = F.array(*map(F.lit, DETECTORS))
     bits = F.array(*[F.lit(1 << n) for n in range(len(DETECTORS))])
     held = F.filter(kinds, lambda k, i: F.col("mask").bitwiseAND(F.get(bits, i)) != 0)
-    return index.withColumn("mask", mask_column(F.col("words"))).where("mask <> 0").select("record_key", "chunk_at", F.explode(held).alias("detector"))
+    return index.withColumn("mask", F.expr(mask_sql("words"))).where("mask <> 0").select("record_key", "chunk_at", F.explode(held).alias("detector"))
 
 
 def with_candidates(texts: DataFrame, hunk: bool = False, index: DataFrame | None = None) -> DataFrame:
@@ -483,9 +478,9 @@ def with_candidates(texts: DataFrame, hunk: bool = False, index: DataFrame | Non
     """
     if index is None:
         posted = texts.select("record_key", "content").mapInArrow(_posted(hunk, True), _POSTED)
-        held = F.transform("chunks", lambda c: F.struct(c["begin"].alias("begin"), mask_column(c["words"]).alias("mask")))
-        return posted.select("record_key", "content", F.filter(held, lambda c: c["mask"] != 0).alias("chunks"))
-    rows = index.select("record_key", F.col("chunk_at").alias("begin"), mask_column(F.col("words")).alias("mask")).where("mask <> 0").distinct()
+        held = f"transform(chunks, c -> named_struct('begin', c.begin, 'mask', {mask_sql('c.words')}))"
+        return posted.select("record_key", "content", F.expr(f"filter({held}, c -> c.mask <> 0)").alias("chunks"))
+    rows = index.select("record_key", F.col("chunk_at").alias("begin"), F.expr(mask_sql("words")).alias("mask")).where("mask <> 0").distinct()
     chunks = rows.groupBy("record_key").agg(F.collect_list(F.struct("begin", "mask")).alias("chunks"))  # bounded by one text
     return texts.select("record_key", "content").join(chunks, "record_key", "left").select("record_key", "content", F.coalesce("chunks", F.array().cast("array<struct<begin:bigint,mask:int>>")).alias("chunks"))
 

@@ -346,7 +346,7 @@ def test_no_residue(spark_free_judge, text):
 def spark_free_judge():
     def judge(text):
         placeholder, rows = residue.read(text)
-        shown = sum(w for _, k, w in rows if k not in ("content", "frame"))
+        shown = sum(w for _, k, w in rows if k in ("error", "script", "form", "filler"))
         return placeholder or shown > 0 and sum(w for _, k, w in rows if k == "content") <= 0.25 * shown
 
     return judge
