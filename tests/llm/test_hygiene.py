@@ -39,7 +39,10 @@ def test_p1_tables(spark):
         [("d", 0, "r", "b.js"), ("d", 0, "r", "b.js"), ("d", 1, "r", "/dev/null"), ("d", 2, "r", None), ("d", 3, "r", "x.py"), ("d", 4, None, "vendor/x.py"), ("d", 5, "r", "y.js"), ("d", 6, "s", "b.js")],
         "diff_id string, file_ord int, repo string, new_path string",
     )
-    h = spark.createDataFrame([("d", 3, 1, "+# @generated by x\n+x = 1\n"), ("d", 5, 40, "\n".join("+" + x for x in MINIFIED.split("\n"))), ("d", 1, 1, "-" + MINIFIED), ("d", 3, None, None)], "diff_id string, file_ord int, new_start bigint, content string")
+    h = spark.createDataFrame(
+        [("d", 3, 0, "x.py", 1, "+# @generated by x\n+x = 1\n"), ("d", 3, 0, "x.py", 1, "+# @generated by x\n+x = 1\n"), ("d", 5, 0, "y.js", 40, "\n".join("+" + x for x in MINIFIED.split("\n"))), ("d", 1, 0, "b.js", 1, "-" + MINIFIED), ("d", 3, 1, None, None, None), ("d", 3, None, "x.py", 1, "+x")],
+        "diff_id string, file_ord int, hunk_ord int, file_path string, new_start bigint, content string",
+    )
     got = {(r.record_kind, r.record_key) for r in handwritten.found(files, d, h).collect()}
     assert got == {("source", "2"), ("diff", "d#0"), ("diff", "d#3"), ("diff", "d#4"), ("diff", "d#5")}
     assert handwritten.found(files.limit(0), d.limit(0), h.limit(0)).count() == 0
