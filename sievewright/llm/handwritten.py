@@ -53,32 +53,32 @@ DECLARES = re.compile(
 BANNER = re.compile(r"(?m)^\s*(?:/\*!|//!?|#|/\*)\s*[a-z][\w.-]*(?:\s+v?\d+\.\d+(?:\.\d+)*\s*(?:$|\*/|[-|(,–—*])|\s*\*/)")
 
 
+_SHAPE = {"id": "a", "num": "0", "str": "s", "special": "a"}
+
+
 def canonical(tokens: list[tuple[str, str, int]]) -> list[str]:
     """The code re-emitted with a line for every statement and block edge, as shapes of tokens."""
     lines: list[str] = []
     now: list[str] = []
     depth = 0
-
-    def end() -> None:
-        if now:
-            lines.append(" ".join(now))
-            now.clear()
-
     for kind, tok, _ in tokens:
-        if kind == "com":
-            continue
-        if kind == "nl":
-            if depth == 0:
-                end()
-            continue
-        now.append({"id": "a", "num": "0", "str": "s", "special": "a"}.get(kind, tok))
-        if tok in ("(", "["):
-            depth += 1
-        elif tok in (")", "]"):
-            depth = max(0, depth - 1)
-        elif tok in ("{", "}") or tok == ";" and depth == 0:
-            end()
-    end()
+        if kind == "id" or kind == "op" and tok != ";":
+            now.append("a" if kind == "id" else tok)
+        elif kind == "nl":
+            if depth == 0 and now:
+                lines.append(" ".join(now))
+                now = []
+        elif kind != "com":
+            now.append(_SHAPE.get(kind, tok))
+            if tok == "(" or tok == "[":
+                depth += 1
+            elif tok == ")" or tok == "]":
+                depth = max(0, depth - 1)
+            elif tok == "{" or tok == "}" or tok == ";" and depth == 0:
+                lines.append(" ".join(now))
+                now = []
+    if now:
+        lines.append(" ".join(now))
     return lines
 
 
@@ -87,33 +87,33 @@ SUMS = ("code", "names", "space", "lines", "made", "literals", "values")
 LARGEST = ("shaped", "key", "open")
 
 
+_DATA_OPS = frozenset((",", ":", "=", "-", ";"))
+
+
 def measured(text: str, tokens: list[tuple[str, str, int]], left: str) -> dict[str, int]:
     """Sums over a lexed text, characters unless said otherwise.
 
-    code, names (also operators that are no punctuation of data), space between tokens of a line that
-    could be left out, lines with code, made (lines of the canonical form), literals and values (their
+    code, names (also operators that are no punctuation of data), white space but for line ends, lines with code, made (lines of the canonical form), literals and values (their
     number); shaped (lines of the canonical form in blocks of the text's commonest shape if at least
     ten blocks or forty lines have it), key (a key block is in it), open (it ends within a string or comment).
     """
     out = dict.fromkeys((*SUMS, *LARGEST), 0)
     made = canonical(tokens)
-    last = (0, "nl")
-    seen: set[int] = set()
-    line = 0
-    for kind, tok, at in tokens:
-        if kind == "nl":
-            line += 1
-        elif kind != "com":
-            out["code"] += len(tok)
-            seen.add(line)
-            out["space"] += at - (last[0] if last[1] != "nl" else text.rfind("\n", 0, at) + 1)
-            if kind in ("str", "num"):
-                out["literals"] += len(tok)
-                out["values"] += 1
-            elif kind in ("id", "special", "bad", "conflict") or kind == "op" and tok not in (",", ":", "=", "-", ";"):
-                out["names"] += len(tok)
-        last = (at + len(tok), kind)
-    out["lines"], out["made"] = len(seen), len(made)
+    kinds = [k for k, _, _ in tokens]
+    lens: dict[str, int] = dict.fromkeys(("com", "nl", "str", "num", "op", "open", "close"), 0)
+    for kind, tok, _ in tokens:
+        lens[kind] = lens.get(kind, 0) + len(tok)
+    out["code"] = sum(lens.values()) - lens["com"] - lens["nl"]
+    out["literals"], out["values"] = lens["str"] + lens["num"], kinds.count("str") + kinds.count("num")
+    data = sum(len(t) for k, t, _ in tokens if k == "op" and t in _DATA_OPS)
+    out["names"] = out["code"] - out["literals"] - lens["open"] - lens["close"] - data
+    out["space"] = len(text) - out["code"] - lens["com"] - lens["nl"]
+    bare = [k for k in kinds if k != "com"]
+    out["lines"] = sum(1 for k, after in zip(bare, [*bare[1:], "nl"]) if after == "nl" and k != "nl")
+    out["made"] = len(made)
+    if len(made) < 20:
+        out["key"], out["open"] = int("-----BEGIN " in text), int(bool(left))
+        return out
     blocks = Counter(_blocks(made))
     if blocks:
         (shape, n), = blocks.most_common(1)
