@@ -11,12 +11,13 @@ The join branches instead of comparing all pairs:
   lose no pair; each record is in two.
 * Copies. Records equal in name, line and words are one representative, linked without comparing.
 * Branching. A node of more than ``node_size`` records sends each record down the words that the
-  node's hash chooses for it, ``branch / least`` words expected, independently in ``trees`` trees.
-  A pair at the threshold shares a chosen word with probability about ``1 - exp(-1.25 * branch)``
-  at each level of a tree; the trees multiply the misses.
+  node's hash chooses for it among those not yet on its path, ``branch / least`` words expected,
+  independently in ``trees`` trees. A pair at the threshold shares a chosen word with probability
+  about ``1 - exp(-1.25 * branch)`` at each level of a tree; the trees multiply the misses.
 * Leaves. Small nodes are compared exhaustively and exactly. What is still large after ``depth``
-  levels (many records that share nearly all words) is compared exhaustively too, in blocks of
-  ``node_size`` records spread over tasks, so no node is cut short.
+  levels (many records that share nearly all words) is compared exhaustively too, in squares of
+  ``block`` by ``block`` records spread over tasks, so no node is cut short; its H records are
+  shuffled H / ``block`` times.
 
 Defined results: repeated rows of a key count once; a null or empty name, a null line or a text
 without words links to nothing; empty tables give no rows. Similarities are compared in integers.
@@ -99,18 +100,23 @@ def _leaves(window: int, num: int, den: int):
 
 
 def links(
-    reps: DataFrame, window: int = 15, least: float = 0.6, node_size: int = 128, trees: int = 4, branch: float = 2.0, depth: int = 3,
+    reps: DataFrame, window: int = 15, least: float = 0.6, node_size: int = 24, trees: int = 4, branch: float = 2.0, depth: int = 3, block: int = 2048, trace: list | None = None,
 ) -> DataFrame:
-    """(a, b), a < b: linked representatives of ``reps`` (rep, name, line, toks)."""
+    """(a, b), a < b: linked representatives of ``reps`` (rep, name, line, toks).
+
+    ``trace`` is given (level, nodes, records in them, largest node) of every level.
+    """
     share = Fraction(least).limit_denominator(1000)
     band = F.floor(F.col("line") / window)
     start = reps.select("rep", "line", "toks", F.xxhash64("name").alias("root"), F.explode(F.array(band, band - 1)).alias("band"))
-    front = cut(start.select(F.xxhash64("root", "band").alias("node"), F.lit(0).alias("tree"), "rep", "line", "toks"))
+    front = cut(start.select(F.xxhash64("root", "band").alias("node"), F.lit(0).alias("tree"), "rep", "line", "toks", F.col("toks").alias("free")))
     found: list[DataFrame] = []
     member = F.struct("rep", "line", "toks", F.lit(0).alias("half"))
     for level in range(depth + 1):
         sizes = front.groupBy("tree", "node").agg(F.count("*").alias("held")).where("held > 1")
         sized = front.join(sizes, ["tree", "node"])
+        if trace is not None:
+            trace.append((level, *sizes.agg(F.count("*"), F.sum("held"), F.max("held")).first()))
         small = sized.where(F.col("held") <= node_size)
         found.append(small.groupBy("tree", "node").agg(F.collect_list(member).alias("members")).select("members"))
         if level == depth or sizes.where(F.col("held") > node_size).isEmpty():
@@ -119,12 +125,12 @@ def links(
         if level == 0:
             large = large.drop("tree").withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees))))
         # a word is chosen by the hash of node, tree and word alone, so both of a pair choose it
-        chance = F.lit(branch / float(least)) / F.size("toks") * F.lit(float(2**31))
-        step = large.select("tree", "node", "rep", "line", "toks", chance.alias("chance"), F.explode("toks").alias("tok"))
+        chance = F.lit(branch / float(least)) / F.size("free") * F.lit(float(2**31))
+        step = large.where(F.size("free") > 0).select("tree", "node", "rep", "line", "toks", "free", chance.alias("chance"), F.explode("free").alias("tok"))
         chosen = step.withColumn("path", F.xxhash64("tree", "node", "tok")).where(F.pmod("path", F.lit(2**31)) < F.col("chance"))
-        front = cut(chosen.select(F.col("path").alias("node"), "tree", "rep", "line", "toks"))
+        front = cut(chosen.select(F.col("path").alias("node"), "tree", "rep", "line", "toks", F.array_remove("free", F.col("tok")).alias("free")))
     rest = sized.where(F.col("held") > node_size)
-    blocks = F.ceil(F.col("held") / node_size)
+    blocks = F.ceil(F.col("held") / block)
     own = F.pmod(F.xxhash64("rep", F.lit(7)), blocks)
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     spread = (
@@ -148,7 +154,8 @@ def near_groups(comments: DataFrame, **how) -> DataFrame:
     ``group_id`` is the smallest ord of the group. Copies of one text in one place count as one
     representative for n_links.
     """
-    ready = places(comments).withColumn("copy", F.xxhash64("name", "line", "words"))
+    # two hashes: 128 bits stand for a text in a place
+    ready = places(comments).withColumn("copy", F.concat(F.hex(F.xxhash64("name", "line", "words")), F.lit("."), F.hex(F.xxhash64(F.lit(1), "words", "line", "name"))))
     own = cut(
         ready.select("ord", "name", "line", "copy", F.transform("words", lambda w: F.xxhash64(w)).alias("toks"))
     )
@@ -169,8 +176,14 @@ def near_groups(comments: DataFrame, **how) -> DataFrame:
     return own.select("ord", "copy").join(labelled, "copy").select("ord", "group_id", "n_links")
 
 
-def group_pairs(groups: DataFrame) -> DataFrame:
-    """(ord_a, ord_b): all pairs of each group, which the found cases are."""
-    a = groups.select("group_id", F.col("ord").alias("ord_a"))
-    b = groups.select("group_id", F.col("ord").alias("ord_b"))
-    return a.join(b, "group_id").where("ord_a < ord_b").select("ord_a", "ord_b")
+def group_pairs(groups: DataFrame, stretch: int = 1000) -> DataFrame:
+    """(ord_a, ord_b): all pairs of each group, which the found cases are.
+
+    A group of more than ``stretch`` records is joined in parts of about that size, so one group's
+    pairs are many tasks' work.
+    """
+    sizes = groups.groupBy("group_id").agg(F.ceil(F.count("*") / stretch).cast("int").alias("parts"))
+    sized = groups.join(sizes, "group_id")
+    a = sized.select("group_id", F.pmod(F.xxhash64("ord"), "parts").cast("int").alias("part"), F.col("ord").alias("ord_a"))
+    b = sized.select("group_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("ord").alias("ord_b"))
+    return a.join(b, ["group_id", "part"]).where("ord_a < ord_b").select("ord_a", "ord_b")
