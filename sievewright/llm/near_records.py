@@ -14,10 +14,11 @@ The join branches instead of comparing all pairs:
   node's hash chooses for it among those not yet on its path, ``branch / least`` words expected,
   independently in ``trees`` trees. A pair at the threshold shares a chosen word with probability
   about ``1 - exp(-1.25 * branch)`` at each level of a tree; the trees multiply the misses.
-* Leaves. Small nodes are compared exhaustively and exactly. What is still large after ``depth``
-  levels (many records that share nearly all words) is compared exhaustively too, in squares of
-  ``block`` by ``block`` records spread over tasks, so no node is cut short; its H records are
-  shuffled H / ``block`` times.
+* Leaves. Small nodes are compared exhaustively and exactly. So are nodes that would not split: whose
+  words are so common in them that one level of branching is expected to compare ``pays`` times as
+  much as the node whole (many records that share nearly all words), and what is left after ``depth`` levels. They
+  are compared in squares of ``block`` by ``block`` records spread over tasks, so no node is cut
+  short; its H records are shuffled H / ``block`` times.
 
 Defined results: repeated rows of a key count once; a null or empty name, a null line or a text
 without words links to nothing; empty tables give no rows. Similarities are compared in integers.
@@ -55,52 +56,64 @@ def places(comments: DataFrame) -> DataFrame:
     )
 
 
-def _compare(names: list, lines: list, words: list, half: list | None, window: int, num: int, den: int) -> tuple[list, list]:
-    """Index pairs of a node that link; with ``half``, only pairs between the two halves."""
-    vocab: dict[int, int] = {}
-    rows, cols = [], []
-    for r, ws in enumerate(words):
-        for w in ws:
-            rows.append(r)
-            cols.append(vocab.setdefault(w, len(vocab)))
-    m = np.zeros((len(words), len(vocab)), dtype=np.float32)
-    m[rows, cols] = 1
-    size = np.array([len(w) for w in words], dtype=np.int64)
-    inter = np.rint(m @ m.T).astype(np.int64)
-    union = size[:, None] + size[None, :] - inter
-    line = np.array(lines, dtype=np.int64)
-    ok = (inter * den >= union * num) & (np.abs(line[:, None] - line[None, :]) <= window)
-    if half is not None:
-        side = np.array(half)
-        ok &= side[:, None] < side[None, :]
-        x, y = np.nonzero(ok)
-    else:
-        x, y = np.nonzero(np.triu(ok, 1))
-    return [names[i] for i in x], [names[j] for j in y]
+def _compare(reps: np.ndarray, lines: np.ndarray, toks: np.ndarray, ends: np.ndarray, half: np.ndarray, window: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a node that link. Record i has the words toks[ends[i]:ends[i + 1]]; if halves 1 and 2 are given, only pairs between them."""
+    size = np.diff(ends).astype(np.int32)
+    rows = np.repeat(np.arange(len(reps)), size)
+    _, word, count = np.unique(toks, return_inverse=True, return_counts=True)
+    shared = count[word] > 1  # words of one record alone add to no intersection
+    _, col = np.unique(word[shared], return_inverse=True)
+    m = np.zeros((len(reps), int(col.max()) + 1 if len(col) else 1), dtype=np.float32)
+    m[rows[shared], col] = 1
+    one = np.flatnonzero(half <= 1)
+    two = np.flatnonzero(half == 2) if half.any() else one
+    inter = np.rint(m[one] @ m[two].T).astype(np.int32)
+    ok = inter * den >= (size[one][:, None] + size[two][None, :] - inter) * num
+    ok &= np.abs(lines[one][:, None] - lines[two][None, :]) <= window
+    if two is one:
+        ok = np.triu(ok, 1)
+    x, y = np.nonzero(ok)
+    a, b = reps[one[x]], reps[two[y]]
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def _leaves(window: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
-            for i in range(batch.num_rows):
-                members = batch.column(0)[i].as_py()
-                half = [m["half"] for m in members]
-                a, b = _compare(
-                    [m["rep"] for m in members], [m["line"] for m in members], [m["toks"] for m in members],
-                    half if any(half) else None, window, num, den,
-                )
-                left += a
-                right += b
-            lo = [min(p) for p in zip(left, right)]
-            hi = [max(p) for p in zip(left, right)]
-            yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
+            members = batch.column(0)
+            flat, starts = members.flatten(), members.offsets.to_numpy() - members.offsets[0].as_py()
+            reps, lines = flat.field("rep").to_numpy(), flat.field("line").to_numpy()
+            words = flat.field("toks")
+            ends = words.offsets.to_numpy().astype(np.int64)
+            toks, ends = words.flatten().to_numpy(), ends - ends[0]
+            for lo, hi in zip(starts, starts[1:]):
+                none = np.zeros(hi - lo, np.int8)
+                a, b = _compare(reps[lo:hi], lines[lo:hi], toks[ends[lo]:ends[hi]], ends[lo:hi + 1] - ends[lo], none, window, num, den)
+                left.append(a)
+                right.append(b)
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _square(window: int, num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        words = t.column("toks").combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+        ends = words.offsets.to_numpy().astype(np.int64)
+        a, b = _compare(
+            t.column("rep").to_numpy(), t.column("line").to_numpy(), words.flatten().to_numpy(), ends - ends[0], t.column("half").to_numpy(), window, num, den
+        )
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def links(
-    reps: DataFrame, window: int = 15, least: float = 0.6, node_size: int = 24, trees: int = 4, branch: float = 2.0, depth: int = 3, block: int = 2048, trace: list | None = None,
+    reps: DataFrame, window: int = 15, least: float = 0.6, node_size: int = 24, trees: int = 4, branch: float = 2.0, depth: int = 3, block: int = 1024, pays: float = 3.0, trace: list | None = None,
 ) -> DataFrame:
     """(a, b), a < b: linked representatives of ``reps`` (rep, name, line, toks).
 
@@ -111,17 +124,28 @@ def links(
     start = reps.select("rep", "line", "toks", F.xxhash64("name").alias("root"), F.explode(F.array(band, band - 1)).alias("band"))
     front = cut(start.select(F.xxhash64("root", "band").alias("node"), F.lit(0).alias("tree"), "rep", "line", "toks", F.col("toks").alias("free")))
     found: list[DataFrame] = []
-    member = F.struct("rep", "line", "toks", F.lit(0).alias("half"))
+    whole: list[DataFrame] = []
+    member = F.struct("rep", "line", "toks")
     for level in range(depth + 1):
         sizes = front.groupBy("tree", "node").agg(F.count("*").alias("held")).where("held > 1")
-        sized = front.join(sizes, ["tree", "node"])
         if trace is not None:
             trace.append((level, *sizes.agg(F.count("*"), F.sum("held"), F.max("held")).first()))
+        sized = front.join(sizes, ["tree", "node"])
         small = sized.where(F.col("held") <= node_size)
         found.append(small.groupBy("tree", "node").agg(F.collect_list(member).alias("members")).select("members"))
-        if level == depth or sizes.where(F.col("held") > node_size).isEmpty():
-            break
         large = sized.where(F.col("held") > node_size)
+        if level == depth:
+            whole.append(large)
+            break
+        if sizes.where(F.col("held") > node_size).isEmpty():
+            break
+        # what one level of branching is expected to compare, against comparing the node whole
+        step = large.where(F.size("free") > 0).select("tree", "node", "rep", "held", (F.lit(branch / float(least)) / F.size("free")).alias("chance"), F.explode("free").alias("tok"))
+        held = step.groupBy("tree", "node", "tok").agg(F.count("*").alias("c"), F.avg("chance").alias("p"), F.first("held").alias("held"))
+        work = F.sum(F.least(F.col("p"), F.lit(1.0)) * F.col("c") * F.col("c")) * (trees if level == 0 else 1)
+        splits = held.groupBy("tree", "node").agg(work.alias("work"), F.first("held").alias("held")).where(F.col("work") < F.lit(pays) * F.col("held") * F.col("held")).select("tree", "node")
+        whole.append(large.join(splits, ["tree", "node"], "left_anti"))
+        large = large.join(splits, ["tree", "node"])
         if level == 0:
             large = large.drop("tree").withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees))))
         # a word is chosen by the hash of node, tree and word alone, so both of a pair choose it
@@ -129,23 +153,25 @@ def links(
         step = large.where(F.size("free") > 0).select("tree", "node", "rep", "line", "toks", "free", chance.alias("chance"), F.explode("free").alias("tok"))
         chosen = step.withColumn("path", F.xxhash64("tree", "node", "tok")).where(F.pmod("path", F.lit(2**31)) < F.col("chance"))
         front = cut(chosen.select(F.col("path").alias("node"), "tree", "rep", "line", "toks", F.array_remove("free", F.col("tok")).alias("free")))
-    rest = sized.where(F.col("held") > node_size)
-    blocks = F.ceil(F.col("held") / block)
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), blocks)
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    spread = (
-        rest.withColumn("own", own).select("tree", "node", "rep", "line", "toks", "own", other.alias("other"))
-        .select("tree", "node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "line", "toks")
-        .withColumn("half", F.when(F.col("x") == F.col("y"), 0).when(F.col("own") == F.col("x"), 1).otherwise(2))
-    )
-    found.append(
-        spread.groupBy("tree", "node", "x", "y")
-        .agg(F.collect_list(F.struct("rep", "line", "toks", "half")).alias("members")).select("members")
-    )
     leaves = found[0]
     for more in found[1:]:
         leaves = leaves.unionByName(more)
-    return leaves.mapInArrow(_leaves(window, share.numerator, share.denominator), LINK).distinct()
+    out = leaves.mapInArrow(_leaves(window, share.numerator, share.denominator), LINK)
+    if whole:
+        rest = whole[0]
+        for more in whole[1:]:
+            rest = rest.unionByName(more)
+        blocks = F.ceil(F.col("held") / block)
+        own = F.pmod(F.xxhash64("rep", F.lit(7)), blocks)
+        other = F.explode(F.sequence(F.lit(0), blocks - 1))
+        squares = (
+            rest.withColumn("own", own).select("tree", "node", "rep", "line", "toks", "own", other.alias("other"))
+            .select("tree", "node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "line", "toks")
+            .withColumn("half", F.when(F.col("x") == F.col("y"), 0).when(F.col("own") == F.col("x"), 1).otherwise(2).cast("int"))
+        )
+        # a group holds two blocks at most
+        out = out.union(squares.select("tree", "node", "x", "y", "rep", "line", "toks", "half").groupBy("tree", "node", "x", "y").applyInArrow(_square(window, share.numerator, share.denominator), LINK))
+    return out.distinct()
 
 
 def near_groups(comments: DataFrame, **how) -> DataFrame:

@@ -118,7 +118,7 @@ def _node(x: np.ndarray, ids: np.ndarray, code: np.ndarray, bits: int, k: int, l
 
     A node is compared whole. One that many rows share although it is larger than ``most`` (their
     hash strings are equal to the end) gets longer strings: signs around its own mean, again sorted
-    and ascended. Only rows that no direction tells apart are compared within stretches of the array.
+    and ascended. Rows that no direction tells apart are compared whole, block by block.
     """
     n = len(x)
     out_i, out_s = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf)
@@ -141,9 +141,7 @@ def _node(x: np.ndarray, ids: np.ndarray, code: np.ndarray, bits: int, k: int, l
             back = np.argsort(again)[rows - left]
             out_i[rows], out_s[rows] = got_i[back], got_s[back]
         else:
-            for s in range(0, len(rows), least):
-                r = rows[s:s + least]
-                _best(x, r, max(left, int(r[0]) - most // 2), min(right, int(r[-1]) + 1 + most // 2), k, ids, out_i, out_s)
+            _best(x, rows, left, right, k, ids, out_i, out_s)
     return out_i, out_s
 
 
@@ -182,30 +180,44 @@ def _ranges(counts: dict[tuple[int, int], int], trees: int, least: int, size: fl
 
 
 def _search(bits: int, width: int, k: int, least: int, most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
+    def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
-        tree = t.column("part").to_numpy()
         ids = t.column("point").to_numpy()
         code = t.column("code").to_numpy().astype(np.uint64)
         x = _matrix(t.column("vec").combine_chunks(), width)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        for one in np.unique(tree):
-            at = np.flatnonzero(tree == one)
-            at = at[np.argsort(code[at], kind="stable")]
-            out_i, out_s = _node(x[at], ids[at], code[at], bits, k, least, most)
-            good = out_i >= 0
-            sizes = np.r_[0, np.cumsum(good.sum(axis=1))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at]), pa.ListArray.from_arrays(sizes, pa.array(out_i[good])), pa.ListArray.from_arrays(sizes, pa.array(out_s[good]))],
-                ["point", "ids", "sims"],
-            )
+        at = np.argsort(code, kind="stable")
+        out_i, out_s = _node(x[at], ids[at], code[at], bits, k, least, most)
+        good = out_i >= 0
+        sizes = np.r_[0, np.cumsum(good.sum(axis=1))].astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[at]), pa.ListArray.from_arrays(sizes, pa.array(out_i[good])), pa.ListArray.from_arrays(sizes, pa.array(out_s[good]))],
+            ["point", "ids", "sims"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by range; one range at a time is held
+        held: list[pa.RecordBatch] = []
+        now = None
+        for b in batches:
+            part = b.column(b.schema.get_field_index("part")).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else []
+            for lo, hi in zip(edges, edges[1:]):
+                if held and part[lo] != now:
+                    yield one(held)
+                    held = []
+                now = part[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield one(held)
 
     return run
 
 
+#: Vectors that a range holds at most, where it can be divided: 50 MB of them in a task.
+RANGE_ROWS = 100_000
+
+
 def neighbours(vectors: DataFrame, k: int = 5, width: int = 64, trees: int = 12, bits: int = 48, least: int | None = None, most: int = 4096, seed: int = 17) -> DataFrame:
     """(id, other, sim, place): the k most similar others of every row of ``vectors`` (id, vec).
 
@@ -228,10 +240,10 @@ def neighbours(vectors: DataFrame, k: int = 5, width: int = 64, trees: int = 12,
     )
     prefix = F.shiftright("code", max(0, bits - RANGE_BITS)).cast("int").alias("prefix")
     counts = {(r["tree"], r["prefix"]): r["count"] for r in hashed.select("tree", prefix).groupBy("tree", "prefix").count().collect()}
-    ranges = _ranges(counts, trees, least, max(8 * least, trees * mean_of["n"] / slices(hashed, trees)))
+    ranges = _ranges(counts, trees, least, max(8 * least, min(RANGE_ROWS, trees * mean_of["n"] / slices(hashed, trees))))
     parts = hashed.sparkSession.createDataFrame([(t, p, r) for (t, p), r in ranges.items()], "tree int, prefix int, part int")
     laid = hashed.withColumn("prefix", prefix).join(F.broadcast(parts), ["tree", "prefix"]).select("point", "part", "code", "vec")
-    laid = laid.repartitionByRange(min(slices(hashed, trees), max(ranges.values()) + 1), "part")
+    laid = laid.repartitionByRange(min(slices(hashed, trees), max(ranges.values()) + 1), "part").sortWithinPartitions("part")
     found = laid.mapInArrow(_search(bits, width, k, least, most), NEAR)
     pairs = found.select("point", F.explode(F.arrays_zip("ids", "sims")).alias("p")).select("point", F.col("p.ids").alias("near"), F.col("p.sims").alias("sim"))
     # Per point at most trees * k rows, so the window has a bound.

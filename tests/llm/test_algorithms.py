@@ -74,6 +74,22 @@ def test_p2_hot_node_branches_and_blocks(spark):
     assert p2(spark, rows, node_size=16, depth=0) == want  # everything large in blocks
 
 
+def test_p2_branches_at_the_defaults(spark):
+    rows = some_comments(900, ["hot.py"], 4, vocab=400)
+    trace, df = [], spark.createDataFrame([(*r, "x", 1) for r in rows], COMMENT)
+    got = {tuple(r) for r in near_records.group_pairs(near_records.near_groups(df, trace=trace), stretch=7).collect()}
+    assert len(trace) > 1 and trace[1][1] > 1 and trace[0][3] > 24
+    want = linked(rows)
+    assert len(got & want) >= 0.99 * len(want) and got <= want
+
+
+def test_p2_near_copies_in_one_place(spark):
+    rows = [(i, "a.py", 5, " ".join(f"w{j}" for j in range(20) if j != i % 20) + f" x{i}") for i in range(3000)]
+    trace, df = [], spark.createDataFrame([(*r, "x", 1) for r in rows], COMMENT)
+    got = near_records.near_groups(df, trace=trace).collect()
+    assert len(got) == 3000 and {r.group_id for r in got} == {0} and {r.n_links for r in got} == {2999}
+
+
 def test_p2_copies_and_edges(spark):
     copies = [(i, "x/a.py", 5, "The same, the SAME words_1 here") for i in range(50)]
     odd = [(100, None, 5, "the same words_1 here"), (101, "a.py", None, "the same words_1 here"), (102, "a.py", 5, "!!!"), (103, "a.py", 5, ""), (104, "a.py", 5, None), (105, "dir/", 5, "the same words_1 here"), (None, "a.py", 5, "the same words_1 here"), (3, "x/a.py", 5, "The same, the SAME words_1 here")]
@@ -152,6 +168,35 @@ def test_p3_does_not_depend_on_the_number_of_partitions(spark):
     assert few[2] == {(i, int(j), k + 1) for i in range(250) for k, j in enumerate(np.argsort(-s[i])[:5])}
 
 
+def test_p3_recall_at_the_defaults_and_any_number_of_partitions(spark):
+    rng = np.random.default_rng(9)
+    n = 4000
+    x = (rng.standard_normal((100, 64))[rng.integers(0, 100, n)] + 0.4 * rng.standard_normal((n, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, f"h{i}", v.tolist(), 0, "") for i, v in enumerate(x)], CHUNK)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = u @ u.T - 3 * np.eye(n)
+    best = np.argsort(-s, axis=1)[:, :5]
+    recall, was = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("4", "200", "1000"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = defaultdict(set)
+            for r in vectors.neighbours(vectors.contents(df)).collect():
+                got[r.id].add(r.other)
+            recall.append(sum(len(set(best[i].tolist()) & got[i]) for i in range(n)) / (5 * n))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert min(recall) >= 0.95 and max(recall) - min(recall) <= 0.005, recall
+
+
+def test_p3_rows_that_no_direction_tells_apart():
+    x = np.ones((600, 8)) / 8**0.5
+    x[:, 0] += np.arange(600) * 1e-12
+    ids = np.arange(600)
+    got, sims = vectors._node(x, ids, np.zeros(600, np.uint64), 8, 3, 16, 64)
+    assert (got >= 0).all() and (np.abs(sims - 1) < 1e-6).all() and all(i not in row for i, row in enumerate(got.tolist()))
+
+
 def test_p3_ranges_are_nodes():
     rng = np.random.default_rng(7)
     code = np.sort(rng.integers(0, 1 << 48, 5000) >> rng.integers(0, 20, 5000)).astype(np.uint64)
