@@ -113,7 +113,7 @@ def _square(window: int, num: int, den: int):
 
 
 def links(
-    reps: DataFrame, window: int = 15, least: float = 0.6, node_size: int = 24, trees: int = 4, branch: float = 2.0, depth: int = 3, block: int = 1024, pays: float = 3.0, trace: list | None = None,
+    reps: DataFrame, window: int = 15, least: float = 0.6, node_size: int = 24, trees: int = 4, branch: float = 2.0, depth: int = 2, block: int = 1024, pays: float = 3.0, trace: list | None = None,
 ) -> DataFrame:
     """(a, b), a < b: linked representatives of ``reps`` (rep, name, line, toks).
 
@@ -153,14 +153,17 @@ def links(
         step = large.where(F.size("free") > 0).select("tree", "node", "rep", "line", "toks", "free", chance.alias("chance"), F.explode("free").alias("tok"))
         chosen = step.withColumn("path", F.xxhash64("tree", "node", "tok")).where(F.pmod("path", F.lit(2**31)) < F.col("chance"))
         front = cut(chosen.select(F.col("path").alias("node"), "tree", "rep", "line", "toks", F.array_remove("free", F.col("tok")).alias("free")))
+    if whole:
+        rest = whole[0]
+        for more in whole[1:]:
+            rest = rest.unionByName(more)
+        found.append(rest.where(F.col("held") <= 256).groupBy("tree", "node").agg(F.collect_list(member).alias("members")).select("members"))
     leaves = found[0]
     for more in found[1:]:
         leaves = leaves.unionByName(more)
     out = leaves.mapInArrow(_leaves(window, share.numerator, share.denominator), LINK)
     if whole:
-        rest = whole[0]
-        for more in whole[1:]:
-            rest = rest.unionByName(more)
+        rest = rest.where(F.col("held") > 256)
         blocks = F.ceil(F.col("held") / block)
         own = F.pmod(F.xxhash64("rep", F.lit(7)), blocks)
         other = F.explode(F.sequence(F.lit(0), blocks - 1))
