@@ -155,19 +155,23 @@ def applied_patches(files: DataFrame, comments: DataFrame) -> DataFrame:
     """(path, content, n_applied): files with the lines that patches replace, each by the patch's lines.
 
     Patches count from the bottom up, so line numbers stay those of the old text; of several on one
-    line each later one replaces the first line of what the one before it left, by ord. The text
-    is cut into lines once and put together once; the break at its end stays.
+    line each later one replaces the first line of what the one before it left, by ord. Patches are
+    gathered by line and joined to the lines of their files, so those of a hot path are many
+    tasks' work; the lines of a file are put together once, and the break at its end stays.
     """
-    entry = F.struct("line", "ord", text.lines("patch").alias("new"))
-    patches = comments.where("patch is not null and file_path is not null and line is not null").groupBy(F.col("file_path").alias("path")).agg(F.array_sort(F.collect_list(entry)).alias("patches"))
-    rows = files.join(patches, "path").withColumn("old", text.lines("content")).withColumn("good", F.filter("patches", lambda p: (p["line"] >= 1) & (p["line"] <= F.size("old"))))
-
-    def new_lines(old: Column, i: Column) -> Column:
-        mine = F.filter("good", lambda p: p["line"] == i + 1)
-        return F.aggregate(mine, F.array(old), lambda acc, p: F.concat(p["new"], F.slice(acc, 2, F.size(acc))))
-
-    out = F.array_join(F.flatten(F.transform("old", new_lines)), "\n")
-    return rows.select("path", F.when(F.col("content").endswith("\n"), F.concat(out, F.lit("\n"))).otherwise(out).alias("content"), F.size("good").alias("n_applied"))
+    given = comments.where("patch is not null and file_path is not null and line is not null")
+    new = text.lines("patch").alias("new")
+    by_line = given.select(F.col("file_path").alias("path"), F.col("line").cast("bigint").alias("line"), "ord", new).groupBy("path", "line").agg(F.array_sort(F.collect_list(F.struct("ord", "new"))).alias("p"))
+    named = given.select(F.col("file_path").alias("path")).distinct()
+    old = files.join(named, "path", "left_semi").select("path", F.col("content").endswith("\n").alias("broken"), text.lines("content").alias("old"))
+    lines = old.select("path", "broken", F.posexplode_outer("old").alias("at", "was")).withColumn("line", F.col("at").cast("bigint") + 1)
+    met = lines.join(by_line, ["path", "line"], "left")
+    out = F.when(F.col("p").isNull(), F.array("was")).otherwise(F.aggregate("p", F.array("was"), lambda acc, p: F.concat(p["new"], F.slice(acc, 2, F.size(acc)))))
+    rows = met.select("path", "broken", "line", out.alias("out"), F.coalesce(F.size("p"), F.lit(0)).alias("n"), F.col("was").isNotNull().alias("is_line"))
+    body = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_line"), F.struct("line", "out")))), lambda x: x["out"])), "\n")
+    return rows.groupBy("path").agg(F.first("broken").alias("broken"), body.alias("b"), F.sum(F.greatest("n", F.lit(0))).cast("int").alias("n_applied")).select(
+        "path", F.when(F.col("broken"), F.concat("b", F.lit("\n"))).otherwise(F.col("b")).alias("content"), "n_applied"
+    )
 
 
 def patch_log(files: DataFrame, comments: DataFrame) -> DataFrame:

@@ -159,19 +159,19 @@ def insight_lines(changed: DataFrame, scored: DataFrame, coupled: DataFrame, own
     spots = scored.join(changed, ["repo", "path"], "left_semi").select(
         "repo", F.lit(1).alias("part"), F.col("path").alias("sort_key"),
         F.concat(
-            F.lit("- "), "path", F.lit(": "), F.col("revisions").cast("string"), F.lit(f" revisions in {since_days // 30} months, "), F.col("authors").cast("string"), F.lit(" authors, "),
-            F.when(F.col("score") >= 0.7, F.concat(F.lit("HOTSPOT (score: "), two("score"), F.lit(")"))).otherwise(F.concat(F.lit("score: "), two("score"))),
+            F.lit("- "), "path", F.lit(": "), F.col("revisions").cast("string"), F.lit(f" changes within {since_days} days by "), F.col("authors").cast("string"), F.lit(" people; history score "), two("score"),
+            F.when(F.col("score") >= 0.7, F.lit(", one of the most reworked files")).otherwise(F.lit("")),
         ).alias("line"),
     )
     names = changed.select("repo", "path")
     side = lambda f: coupled.join(names.withColumnRenamed("path", f), ["repo", f], "left_semi")
     pairs = side("file_a").unionByName(side("file_b")).distinct().select(
         "repo", F.lit(2).alias("part"), F.concat_ws("|", "file_a", "file_b").alias("sort_key"),
-        F.concat(F.lit("- "), "file_a", F.lit(" is temporally coupled with "), "file_b", F.lit(" (coupling: "), two("coupling_degree"), F.lit(", "), F.col("co_changes").cast("string"), F.lit(" co-changes)")).alias("line"),
+        F.concat(F.lit("- "), "file_a", F.lit(" and "), "file_b", F.lit(" changed together "), F.col("co_changes").cast("string"), F.lit(" times, a degree of "), two("coupling_degree")).alias("line"),
     )
     silos = owned.where("is_knowledge_silo").join(changed, ["repo", "path"], "left_semi").select(
         "repo", F.lit(3).alias("part"), F.col("path").alias("sort_key"),
-        F.concat(F.lit("- "), "path", F.lit(": knowledge silo (single author: "), F.col("authors")[0]["email"], F.lit(", "), F.format_string("%.0f", F.col("authors")[0]["ratio"] * 100), F.lit("% of commits)")).alias("line"),
+        F.concat(F.lit("- "), "path", F.lit(": known to few, "), F.format_string("%.0f", F.col("authors")[0]["ratio"] * 100), F.lit("% of its commits are by "), F.col("authors")[0]["email"]).alias("line"),
     )
     return spots.unionByName(pairs).unionByName(silos)
 
@@ -180,6 +180,5 @@ def hotspot_banner(path: Column, score: Column) -> Column:
     """The note for a changed file by its score's band, null below 0.4."""
     two = F.format_string("%.2f", score.cast("double"))
     return F.when(
-        score >= 0.7,
-        F.concat(F.lit("⚠️  "), path, F.lit(" is a HIGH-CHURN HOTSPOT (score: "), two, F.lit("). This file changes frequently and is a common source of bugs. Review changes here with EXTRA SCRUTINY — even minor issues matter.")),
-    ).when(score >= 0.4, F.concat(F.lit("📊 "), path, F.lit(" has moderate churn (score: "), two, F.lit("). Review with care.")))
+        score >= 0.7, F.concat(path, F.lit(": history score "), two, F.lit(", among the most reworked files of this repository. Read every changed line of it closely and report doubtful ones too."))
+    ).when(score >= 0.4, F.concat(path, F.lit(": history score "), two, F.lit(", reworked more than most. Look twice.")))

@@ -282,14 +282,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     are weighted once and kept partitioned by their source; lineage is cut by checkpoints.
     """
     n = nodes.select(F.count("*").alias("n"))
-    base = (1.0 - damping)
     out = edges.groupBy("from_id").agg(F.sum("m").alias("out"))
-    weighted = checkpointed(edges.join(out, "from_id").select("from_id", "to_id", (F.col("m") / F.col("out")).alias("w")).repartition("from_id"))
-    ids = checkpointed(nodes.select("sym_id").join(F.broadcast(n)))
-    ranks = ids.select("sym_id", (1.0 / F.col("n")).alias("rank"))
+    weighted = checkpointed(edges.join(out, "from_id").select("from_id", "to_id", (damping * F.col("m") / F.col("out")).alias("w")).join(nodes.select(F.col("sym_id").alias("to_id")), "to_id", "left_semi").repartition("from_id"))
+    start = checkpointed(nodes.select("sym_id").join(F.broadcast(n)).select("sym_id", ((1.0 - damping) / F.col("n")).alias("base"), (1.0 / F.col("n")).alias("rank")))
+    base = start.select("sym_id", F.col("base").alias("got"))
+    ranks = start.select("sym_id", "rank")
     for i in range(rounds):
-        sent = weighted.join(ranks, weighted.from_id == ranks.sym_id).groupBy("to_id").agg(F.sum(damping * F.col("rank") * F.col("w")).alias("got"))
-        ranks = ids.join(sent, ids.sym_id == sent.to_id, "left").select("sym_id", (base / F.col("n") + F.coalesce("got", F.lit(0.0))).alias("rank"))
+        # the sum over the base and what came in: one shuffle a round, by the key of the next round's join
+        sent = weighted.join(ranks, weighted.from_id == ranks.sym_id).select(F.col("to_id").alias("sym_id"), (F.col("rank") * F.col("w")).alias("got"))
+        ranks = base.unionByName(sent).groupBy("sym_id").agg(F.sum("got").alias("rank"))
         if (i + 1) % cut_every == 0 and i + 1 < rounds:
             ranks = checkpointed(ranks)
     return ranks
@@ -330,8 +331,7 @@ def map_lines(picked: DataFrame, style: str = "text") -> DataFrame:
     if style == "markdown":
         body = F.array_join(F.transform("s", lambda x: F.concat(F.lit("- **"), x["label"], F.lit("** `"), x["signature"], F.lit("`\n"))), "")
         return rows.select("path", F.concat(F.lit("## `"), "path", F.lit("`\n\n"), body, F.lit("\n")).alias("section"))
-    last = W.orderBy(F.col("path").desc())  # a map is bounded by its token budget
-    rows = rows.withColumn("is_last", F.row_number().over(last) == 1)
+    rows = rows.join(F.broadcast(rows.agg(F.max("path").alias("_last")))).withColumn("is_last", F.col("path") == F.col("_last"))
     child = F.when(F.col("is_last"), "    ").otherwise("│   ")
     body = F.array_join(F.transform("s", lambda x, i: F.concat(child, F.when(i == F.size("s") - 1, "└── ").otherwise("├── "), x["label"], F.lit(" "), x["cut"], F.lit("\n"))), "")
     return rows.select("path", F.concat(F.when(F.col("is_last"), "└── ").otherwise("├── "), "path", F.lit("\n"), body).alias("section"))

@@ -17,7 +17,7 @@ from ..operators import diffs, findings, history, retrieval, symbols
 from ..operators.state import IndexStore
 from ..sources import sinks
 from ..sources.readers import ReviewSettings
-from .lineage import checkpointed
+from .lineage import checkpointed, numbered
 
 
 def make_map(files: DataFrame, max_tokens: int = 1024, focus: list[str] | None = None, style: str = "text") -> str | DataFrame:
@@ -91,7 +91,7 @@ def search(store: IndexStore, queries: DataFrame, embed: Embedder, limit: int =
 
 def review(responses: DataFrame, rules: DataFrame, evaluations: DataFrame | None = None, **how) -> DataFrame:
     """Findings out of model responses (resp_id, response), judged; ``reason`` is null for those kept."""
-    rows = findings.parsed_comments(responses).withColumn("ord", F.col("resp_id") * 100_000 + F.col("pos"))
+    rows = numbered(findings.parsed_comments(responses), [], [F.col("resp_id"), F.col("pos")], "ord")
     return findings.reviewed(rows, rules, evaluations, **how)
 
 

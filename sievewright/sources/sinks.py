@@ -7,7 +7,6 @@ lines at the end; what they are made of is computed in tables.
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +53,7 @@ def sarif_results(comments: DataFrame, tool: str = "sievewright") -> DataFrame:
 
 
 def sarif(comments: DataFrame, tool: str = "sievewright", version: str = "0.1.0", url: str = "") -> DataFrame:
-    """One row: the SARIF 2.1.0 document of a review's comments."""
+    """One row: the SARIF 2.1.0 document of a review's comments; ``write_sarif`` writes a long one piece by piece."""
     rules = sarif_rules(comments, tool).agg(F.transform(F.array_sort(F.collect_list(F.struct("first_ord", "id", "name", "level"))), lambda r: F.struct(
         r["id"].alias("id"), F.struct(r["name"].alias("text")).alias("shortDescription"), F.struct(r["level"].alias("level")).alias("defaultConfiguration"))).alias("rules"))
     results = sarif_results(comments, tool).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.to_json("result").alias("j")))), lambda r: r["j"]).alias("results"))
@@ -63,6 +62,24 @@ def sarif(comments: DataFrame, tool: str = "sievewright", version: str = "0.1.0"
     return both.select(F.concat(F.lit('{"$schema":"' + SCHEMA_URL + '","version":"2.1.0","runs":[{"tool":{"driver":'), head, F.lit('},"results":['), F.array_join("results", ","), F.lit("]}]}")).alias("sarif"))
 
 
+def sarif_parts(comments: DataFrame, tool: str = "sievewright", version: str = "0.1.0", url: str = "") -> DataFrame:
+    """(part, ord, line): the document in pieces, its head, a line per result and its end, to be written in this order."""
+    whole = comments.agg(F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("ord"), F.lit("]}]}").alias("line"))
+    rules = sarif_rules(comments, tool).agg(F.transform(F.array_sort(F.collect_list(F.struct("first_ord", "id", "name", "level"))), lambda r: F.struct(
+        r["id"].alias("id"), F.struct(r["name"].alias("text")).alias("shortDescription"), F.struct(r["level"].alias("level")).alias("defaultConfiguration"))).alias("rules"))  # one per severity
+    head = F.to_json(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.lit(url).alias("informationUri"), F.col("rules")))
+    first = rules.select(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("ord"), F.concat(F.lit('{"$schema":"' + SCHEMA_URL + '","version":"2.1.0","runs":[{"tool":{"driver":'), head, F.lit('},"results":[')).alias("line"))
+    return first.unionByName(sarif_results(comments, tool).select(F.lit(1).alias("part"), F.col("ord").cast("bigint").alias("ord"), F.to_json("result").alias("line"))).unionByName(whole)
+
+
+def write_sarif(comments: DataFrame, out, **how) -> None:
+    """Writes the document to a text file object, one result at a time, so that no task or driver holds all of them."""
+    between = ""
+    for r in sarif_parts(comments, **how).orderBy("part", "ord").toLocalIterator():
+        out.write((between if r["part"] == 1 else "") + r["line"])
+        between = "," if r["part"] == 1 else ""
+
+
 def _indented(c: str, before: str) -> Column:
     return F.array_join(F.transform(text.lines(c), lambda x: F.concat(F.lit(before), x, F.lit("\n"))), "")
 
@@ -115,7 +132,7 @@ def review_report(comments: DataFrame, stats: dict, style: str = "text", summary
         return "# Review Results\n\n" + head + (f"> {summary}\n\n" if summary else "") + body
     out = "Review Results\n==============\n" + head
     if (k := s["hotspot_files"]) > 0:
-        out += f"🔥 {k} hotspot file{'' if k == 1 else 's'} detected — reviewed with extra scrutiny\n\n"
+        out += f"Much reworked files among those changed: {k}\n\n"
     if summary:
         out += f"Summary: {summary}\n\n"
     if skipped:
@@ -227,10 +244,6 @@ def post_review(comments: DataFrame, summary: str, send: Callable[[dict], None]
         refused = any(x in str(e) for x in ("422", "Unprocessable Entity", "Validation Failed", "can't request changes"))
         if row["event"] != "REQUEST_CHANGES" or not refused:
             raise
-        row |= {"event": "COMMENT", "body": summary + "\n\n*(Note: Originally intended as REQUEST_CHANGES, but fell back to COMMENT due to permission restrictions)*"}
+        row |= {"event": "COMMENT", "body": summary + "\n\n(Sent as a comment, since asking for changes was refused.)"}
         send(row)
     return row
-
-
-def batches_needed(n: int, size: int) -> int:
-    return ceil(n / size)

@@ -100,5 +100,5 @@ def test_insights(spark):
     current = spark.createDataFrame([("r", "a.rs", 10), ("r", "b.rs", 5)], "repo string, path string, loc int")
     changed = spark.createDataFrame([("r", "a.rs"), ("r", "b.rs")], "repo string, path string")
     lines = [r.line for r in history.insight_lines(changed, history.hotspots(rows, current), history.coupling(rows), history.ownership(rows)).orderBy("part", "sort_key").collect()]
-    assert lines[2] == "- a.rs is temporally coupled with b.rs (coupling: 1.00, 3 co-changes)"
-    assert lines[3] == "- a.rs: knowledge silo (single author: alice@x, 100% of commits)" and len(lines) == 5
+    assert lines[2] == "- a.rs and b.rs changed together 3 times, a degree of 1.00"
+    assert lines[3] == "- a.rs: known to few, 100% of its commits are by alice@x" and len(lines) == 5

@@ -51,7 +51,7 @@ def test_prompts(spark):
     got = {(r.diff_id, r.group_no): r.messages for r in commands.review_prompts(rows(spark), rules, ReviewSettings(), scored).collect()}
     assert set(got) == {("d1", 0), ("d2", 0)}
     user = got["d1", 0][1].content
-    assert "HIGH-CHURN HOTSPOT (score: 0.80)" in user and user.index("b/src/b.rs") < user.index("b/src/a.rs") and "Cargo.lock" not in user
+    assert "history score 0.80" in user and user.index("b/src/b.rs") < user.index("b/src/a.rs") and "Cargo.lock" not in user
     assert "- [bug] no-unwrap: never" in got["d1", 0][0].content
     alone = commands.review_prompts(rows(spark), rules, ReviewSettings(cross_file=False))
     assert alone.count() == 3
