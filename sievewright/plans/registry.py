@@ -179,7 +179,20 @@ def changed_couplings(spark: SparkSession, d: str) -> DataFrame:
     return side("file_a").unionByName(side("file_b")).distinct().select("repo", "file_a", "file_b", "co_changes")
 
 
-@query()
+def _two(x: str) -> str:
+    return f"printf('%.2f', round(({x})::DECIMAL(18,9), 2)::DOUBLE)"
+
+
+_TAIL = f"""{_SPOTS}, {_COUPLED.replace(_H + ',', '')}, {_OWN.replace(_H + ',', '')}, {_DF},
+ch AS (SELECT DISTINCT repo, new_path AS path FROM df WHERE repo IS NOT NULL AND new_path IS NOT NULL)"""
+
+
+@query(f"""WITH {_TAIL}
+SELECT repo, 1 AS part, path AS sort_key, '- ' || path || ': ' || revisions || ' changes within 180 days by ' || authors || ' people; history score ' || {_two('score')} || CASE WHEN score >= 0.7 THEN ', one of the most reworked files' ELSE '' END AS line
+FROM spots SEMI JOIN ch USING (repo, path)
+UNION ALL SELECT repo, 2, file_a || '|' || file_b, '- ' || file_a || ' and ' || file_b || ' changed together ' || co_changes || ' times, a degree of ' || {_two('coupling_degree')} FROM coupled c
+WHERE EXISTS (SELECT 1 FROM ch WHERE ch.repo = c.repo AND (ch.path = file_a OR ch.path = file_b))
+UNION ALL SELECT repo, 3, path, '- ' || path || ': known to few, ' || round((dominant_ratio * 100)::DECIMAL(18,9), 0)::BIGINT || '% of its commits are by ' || top_email FROM owned SEMI JOIN ch USING (repo, path) WHERE is_knowledge_silo""")
 def history_insights(spark: SparkSession, d: str) -> DataFrame:
     rows = _history(spark, d)
     changed = _files(spark, d).select("repo", F.col("new_path").alias("path")).distinct()
@@ -587,7 +600,16 @@ def patch_log(spark: SparkSession, d: str) -> DataFrame:
     return findings.patch_log(files, _comments(spark, d))
 
 
-@query()
+_LN = "CASE WHEN {0} LIKE '%' || chr(10) OR {0} = '' THEN string_split({0}, chr(10))[:-2] ELSE string_split({0}, chr(10)) END"
+_LN = f"list_transform({_LN}, lambda x: regexp_replace(x, '\r$', ''))"
+
+
+@query(f"""WITH {_CM}, f AS (SELECT path, min(content) AS content FROM source_files WHERE path IS NOT NULL AND content IS NOT NULL GROUP BY 1),
+p AS (SELECT file_path AS path, line, list({_LN.format('patch')} ORDER BY ord) AS ps, count(*) AS n FROM cm WHERE patch IS NOT NULL AND file_path IS NOT NULL AND line IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT path, content, {_LN.format('content')} AS ln FROM f WHERE path IN (SELECT path FROM p)), e AS (SELECT path, ln, unnest(range(1, len(ln) + 1)) AS line FROM l),
+o AS (SELECT path, line, CASE WHEN ps IS NULL THEN [ln[line]] ELSE list_reduce(list_prepend([ln[line]], ps), lambda a, q: q || a[2:]) END AS made, coalesce(n, 0) AS n FROM e LEFT JOIN p USING (path, line)),
+g AS (SELECT path, array_to_string(flatten(list(made ORDER BY line)), chr(10)) AS body, sum(n)::INT AS n FROM o GROUP BY 1)
+SELECT l.path, coalesce(body, '') || CASE WHEN content LIKE '%' || chr(10) THEN chr(10) ELSE '' END AS content, coalesce(n, 0)::INT AS n_applied FROM l LEFT JOIN g USING (path)""")
 def patch_apply(spark: SparkSession, d: str) -> DataFrame:
     files = t(spark, d, "source_files").where("path is not null and content is not null").groupBy("path").agg(F.min("content").alias("content"))
     return findings.applied_patches(files, _comments(spark, d))
@@ -606,7 +628,10 @@ def sarif_rules(spark: SparkSession, d: str) -> DataFrame:
     return sinks.sarif_rules(_comments(spark, d).where(F.col("severity").isin(*scores.SEVERITIES)))
 
 
-@query()
+@query(f"""WITH {_CM} SELECT ord, '## ' || CASE severity WHEN 'bug' THEN '🐛 Bug' WHEN 'warning' THEN '⚠️ Warning' WHEN 'suggestion' THEN '💡 Suggestion' ELSE 'ℹ️ Info' END || ' — `' || file_path || ':' || line || '` ('
+|| CASE WHEN isnan(confidence) THEN 'NaN' ELSE round(coalesce(confidence, 50)::DECIMAL(18,6), 0)::BIGINT::VARCHAR END || '%' || CASE WHEN rule IS NULL THEN '' ELSE ', rule: ' || rule END || ')' || chr(10) || chr(10) || message || chr(10) || chr(10)
+|| CASE WHEN suggestion IS NULL THEN '' ELSE '> **Suggestion:** ' || suggestion || chr(10) || chr(10) END || CASE WHEN patch IS NULL THEN '' ELSE '```' || chr(10) || patch || chr(10) || '```' || chr(10) || chr(10) END AS block
+FROM cm WHERE severity IN ('bug', 'warning', 'suggestion', 'info') AND file_path IS NOT NULL AND line IS NOT NULL AND message IS NOT NULL""")
 def review_text(spark: SparkSession, d: str) -> DataFrame:
     rows = _comments(spark, d).where(F.col("severity").isin(*scores.SEVERITIES) & F.col("file_path").isNotNull() & F.col("line").isNotNull() & F.col("message").isNotNull())
     return sinks.comment_text(rows, "markdown")
@@ -664,7 +689,7 @@ def event_iterations(spark: SparkSession, d: str) -> DataFrame:
     return state.iterations(t(spark, d, "events").select(F.col("user_id").cast("string").alias("commit"), F.col("ts").alias("timestamp")))
 
 
-@query("SELECT file_path FROM chunks WHERE file_path IS NOT NULL AND file_path NOT IN (SELECT path FROM source_files WHERE path IS NOT NULL) GROUP BY 1")
+@query("SELECT file_path FROM chunks WHERE file_path IS NOT NULL AND file_path NOT IN (SELECT new_path FROM diff_files WHERE new_path IS NOT NULL) GROUP BY 1")
 def stale_paths(spark: SparkSession, d: str) -> DataFrame:
     stored = t(spark, d, "chunks").where("file_path is not null").select("file_path").distinct()
-    return state.without_paths(stored, t(spark, d, "source_files").where("path is not null").select("path"), "file_path")
+    return state.without_paths(stored, t(spark, d, "diff_files").where("new_path is not null").select(F.col("new_path").alias("path")), "file_path")
