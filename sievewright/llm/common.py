@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpointed as cut  # noqa: F401 - the operators cut lineage by this
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the input folder."""
@@ -22,25 +23,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    Where the setting is absent (a local session, as in tests) a temporary folder is used. On a
-    cluster the setting has to name storage that all executors share; the files there survive the
-    loss of any executor.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def slices(df: DataFrame, least: int = 1) -> int:
     """A task count for a wide step: the session's shuffle partitions, at least ``least``."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -8,7 +8,7 @@ A document is emitted floor(r) times, and once more if the hash of the seed and
 the fraction of r, so the draw is the same on every run and layout.
 
 Defined results: source names count without regard to case, outer blanks and ``-`` or ``_``; null
-sources and those missing from the targets take no part; targets without tokens get nothing, and
+sources and those missing from the targets take no part; targets without tokens get nothing and are reported with 0, and
 the other shares are scaled up to fill in; documents without tokens add nothing and are not drawn;
 repeated targets of one name count once, with their largest share.
 """
@@ -34,14 +34,19 @@ def sized(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """(source, target_share, max_repeats, tokens, docs, rate), one row per target that has tokens."""
+    """(source, target_share, max_repeats, tokens, docs, rate, binds), one row per target.
+
+    A target without tokens has 0 tokens and rate 0. ``binds`` marks the sources at their cap: the
+    scarcest of them fixes the total.
+    """
     named = (
         targets.where("source is not null and target_share > 0 and max_repeats > 0")
         .groupBy(source_name("source").alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     )
     held = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-    rows = named.join(held, "source").collect()  # as many rows as mix_targets has
-    rows.sort(key=lambda r: r["source"])
+    every = named.join(held, "source", "left").collect()  # as many rows as mix_targets has
+    every.sort(key=lambda r: r["source"])
+    rows = [r for r in every if r["tokens"]]
     rate: dict[str, float] = {}
     if rows:
         share = {r["source"]: r["target_share"] for r in rows}
@@ -65,8 +70,11 @@ def rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
         rate = {r["source"]: min(float(r["max_repeats"]), take.get(r["source"], 0.0) / r["tokens"]) for r in rows}
     spark = sizes.sparkSession
     return spark.createDataFrame(
-        [(r["source"], float(r["target_share"]), int(r["max_repeats"]), int(r["tokens"]), int(r["docs"]), float(rate[r["source"]])) for r in rows],
-        "source string, target_share double, max_repeats int, tokens bigint, docs bigint, rate double",
+        [
+            (r["source"], float(r["target_share"]), int(r["max_repeats"]), int(r["tokens"] or 0), int(r["docs"] or 0), float(rate.get(r["source"], 0.0)), bool(r["tokens"]) and rate[r["source"]] >= r["max_repeats"] * (1 - 1e-9))
+            for r in every
+        ],
+        "source string, target_share double, max_repeats int, tokens bigint, docs bigint, rate double, binds boolean",
     )
 
 
@@ -82,17 +90,18 @@ def drawn(sizes: DataFrame, rate: DataFrame, seed: int = 20240) -> DataFrame:
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 20240, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The drawn copies (doc_id, copy, source, n_tokens) and the report by source.
 
-    The report has (source, target_share, max_repeats, tokens, rate, tokens_drawn, share_reached).
+    The report has (source, target_share, max_repeats, tokens, rate, binds, tokens_drawn, share_reached,
+    tokens_left), a row per target; tokens_left are those of documents that were not drawn at all.
     """
     sizes = cut(sized(documents, path))
     rate = rates(sizes, targets, total_tokens)
     draws = drawn(sizes, rate, seed)
     copies = draws.where("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "source", "n_tokens")
-    got = draws.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_drawn"))
+    got = draws.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_drawn"), F.sum(F.when(F.col("copies") == 0, F.col("n_tokens")).otherwise(0)).alias("tokens_left"))
     whole = got.agg(F.sum("tokens_drawn").alias("whole"))
     # one row holds the whole
     report = rate.join(got, "source", "left").join(F.broadcast(whole)).select(
-        "source", "target_share", "max_repeats", "tokens", "rate", F.coalesce("tokens_drawn", F.lit(0)).alias("tokens_drawn"),
-        (F.coalesce("tokens_drawn", F.lit(0)) / F.col("whole")).alias("share_reached"),
+        "source", "target_share", "max_repeats", "tokens", "rate", "binds", F.coalesce("tokens_drawn", F.lit(0)).alias("tokens_drawn"),
+        F.coalesce(F.coalesce("tokens_drawn", F.lit(0)) / F.when(F.col("whole") > 0, F.col("whole")), F.lit(0.0)).alias("share_reached"), F.coalesce("tokens_left", F.lit(0)).alias("tokens_left"),
     )
     return copies, report

@@ -59,8 +59,14 @@ def average_ranks(valid: DataFrame) -> DataFrame:
     )
 
 
-def borda(hits: DataFrame, chunks: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, points, n_lists) over all lists; ``weights`` may give (source, weight)."""
+def borda(hits: DataFrame, chunks: DataFrame, weights: DataFrame | None = None, missing: str = "nothing") -> DataFrame:
+    """(query_id, chunk_id, points, n_lists) over all lists; ``weights`` may give (source, weight).
+
+    A list that lacks a chunk adds nothing to it, or with ``missing="mid"`` the points of the middle
+    rank, (n + 1) / 2n of a list of n; lists of other queries add nothing either way.
+    """
+    if missing not in ("nothing", "mid"):
+        raise ValueError(f"unknown way with missing scores: {missing}")
     valid = valid_hits(hits, chunks)
     ranks = average_ranks(valid)
     scored = valid.join(ranks, ["query_id", "source", "score"]).withColumn(
@@ -70,11 +76,21 @@ def borda(hits: DataFrame, chunks: DataFrame, weights: DataFrame | None = None)
         scored = scored.join(weights.select("source", "weight"), "source", "left").withColumn(
             "part_points", F.col("part_points") * F.coalesce("weight", F.lit(1.0))
         )
-    return scored.groupBy("query_id", "chunk_id").agg(
-        # whole micro-units: a sum of doubles would depend on the order of the rows
-        (F.sum(F.round(F.col("part_points") * 1e9).cast("long")) / 1e9).alias("points"),
-        F.count("*").alias("n_lists"),
+    # whole nano-units: a sum of doubles would depend on the order of the rows
+    unit = lambda c: F.round(c * 1e9).cast("long")
+    if missing == "nothing":
+        return scored.groupBy("query_id", "chunk_id").agg((F.sum(unit(F.col("part_points"))) / 1e9).alias("points"), F.count("*").alias("n_lists"))
+    mid = (F.col("n") + 1) / 2 / F.col("n")
+    if weights is not None:
+        ranks = ranks.join(weights.select("source", "weight"), "source", "left")
+        mid = mid * F.coalesce("weight", F.lit(1.0))
+    # what all lists of a query would give in the middle, less what the lists give that have the chunk
+    lists = ranks.select("query_id", "source", "n", mid.alias("mid")).distinct()
+    whole = lists.groupBy("query_id").agg(F.sum(unit(F.col("mid"))).alias("all_mid"))
+    got = scored.join(lists.select("query_id", "source", "mid"), ["query_id", "source"]).groupBy("query_id", "chunk_id").agg(
+        F.sum(unit(F.col("part_points")) - unit(F.col("mid"))).alias("over"), F.count("*").alias("n_lists")
     )
+    return got.join(whole, "query_id").select("query_id", "chunk_id", ((F.col("over") + F.col("all_mid")) / 1e9).alias("points"), "n_lists")
 
 
 def top_wanted(points: DataFrame, wanted: DataFrame) -> DataFrame:

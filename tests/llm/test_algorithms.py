@@ -405,6 +405,8 @@ def test_p9_shares(spark):
     targets = spark.createDataFrame([("web", 0.5, 1), ("wiki_pages", 0.3, 3), ("code", 0.1, 2), ("absent", 0.1, 4)], TARGET)
     copies, report = mixing.mixture(docs, targets)
     got = {r.source: r for r in report.collect()}
+    absent = got.pop("absent")  # a target without tokens is reported too
+    assert (absent.tokens, absent.tokens_drawn, absent.rate, absent.share_reached) == (0, 0, 0.0, 0.0)
     assert set(got) == {"web", "wiki_pages", "code"} and all(r.rate <= r.max_repeats for r in got.values())
     assert max(r.rate / r.max_repeats for r in got.values()) == pytest.approx(1.0)
     for r in got.values():
@@ -423,7 +425,7 @@ def test_p9_fixed_total_and_empty(spark):
     rate = {r.source: r for r in mixing.rates(sizes, targets, 3000).collect()}
     assert rate["a"].rate == 2.0 and rate["b"].rate == pytest.approx((3000 - 2 * rate["a"].tokens) / rate["b"].tokens)
     copies, report = mixing.mixture(docs.limit(0), targets)
-    assert copies.count() == 0 and report.count() == 0
+    assert copies.count() == 0 and {(r.source, r.tokens_drawn, r.share_reached) for r in report.collect()} == {("a", 0, 0.0), ("b", 0, 0.0)}
     assert mixing.mixture(docs, targets.limit(0))[1].count() == 0
 
 
@@ -440,3 +442,21 @@ def test_query_matches_sql(name, compare):
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(SQL)))
 def test_query_runs(name, spark):
     assert queries.queries()[name](spark, f"{DATA}/sf0.001").count() > 0
+
+
+def test_p5_missing_scores_at_the_middle_rank(spark):
+    hits = spark.createDataFrame([(1, "a", k, float(9 - k)) for k in range(1, 6)] + [(1, "b", 5, 0.5), (1, "b", 4, 0.1), (2, "b", 1, 1.0)], "query_id bigint, source string, chunk_id bigint, score double")
+    chunks = spark.createDataFrame([(k,) for k in range(1, 6)], "chunk_id bigint")
+    got = {(r.query_id, r.chunk_id): (round(r.points, 6), r.n_lists) for r in ranking.borda(hits, chunks, missing="mid").collect()}
+    want = {(1, k): ((6 - k) / 5 + {5: 1.0, 4: 0.5}.get(k, 0.75), 2 if k > 3 else 1) for k in range(1, 6)} | {(2, 1): (1.0, 1)}
+    assert got == {k: (round(p, 6), n) for k, (p, n) in want.items()}
+    with pytest.raises(ValueError):
+        ranking.borda(hits, chunks, missing="last")
+
+
+def test_p9_reports_every_target(spark):
+    docs = spark.createDataFrame([(n, "some words here " * 5, "A-b" if n % 3 else "c") for n in range(300)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a_b", 0.5, 3), ("C", 0.49, 2), ("runbook", 0.01, 4)], "source string, target_share double, max_repeats int")
+    rows = {r.source: r for r in mixing.mixture(docs, targets)[1].collect()}
+    assert set(rows) == {"a_b", "c", "runbook"} and rows["runbook"].tokens == rows["runbook"].tokens_drawn == 0 and rows["runbook"].rate == 0
+    assert rows["c"].binds and not rows["a_b"].binds and rows["c"].tokens_left == 0 and abs(rows["a_b"].share_reached + rows["c"].share_reached - 1) < 1e-9
