@@ -273,7 +273,8 @@ def rebuilt_diffs(spark: SparkSession, d: str) -> DataFrame:
     return diffs.rebuilt(_files(spark, d), _hunks(spark, d))
 
 
-@query(f"""WITH {_DF} SELECT diff_id || '#' || file_ord AS diff_id, 0 AS file_ord, (row_number() OVER (PARTITION BY dh.diff_id, file_ord ORDER BY hunk_ord) - 1)::INT AS hunk_ord, old_start, old_lines, new_start, new_lines, CASE WHEN content LIKE '%' || chr(10) THEN content ELSE content || chr(10) END AS content
+@query(f"""WITH {_DF} SELECT diff_id || '#' || file_ord AS diff_id, 0 AS file_ord, (row_number() OVER (PARTITION BY dh.diff_id, file_ord ORDER BY hunk_ord) - 1)::INT AS hunk_ord, CASE WHEN new_path = '/dev/null' THEN old_path ELSE new_path END AS file_path, old_start, old_lines, new_start, new_lines, CASE WHEN content LIKE '%' || chr(10) THEN content ELSE content || chr(10) END AS content,
+CASE WHEN old_path = '/dev/null' OR old_lines = 0 THEN 'add' WHEN new_path = '/dev/null' OR new_lines = 0 THEN 'delete' ELSE 'modify' END AS change_type
 FROM dh JOIN df USING (diff_id, file_ord)""")
 def diff_parse(spark: SparkSession, d: str) -> DataFrame:
     files, hunks = _files(spark, d), _hunks(spark, d)
@@ -282,7 +283,7 @@ def diff_parse(spark: SparkSession, d: str) -> DataFrame:
     texts = diffs.rebuilt(files.join(whole.select("diff_id", "file_ord").distinct(), ["diff_id", "file_ord"], "left_semi"), whole)
     # the counts of a hunk's header settle what belongs to it, so removed lines like '-- x' stay content
     rows = diffs.parsed(texts.select(F.concat_ws("#", "diff_id", "file_ord").alias("diff_id"), "text"))
-    return diffs.hunks_of(rows).select("diff_id", "file_ord", "hunk_ord", "old_start", "old_lines", "new_start", "new_lines", "content")
+    return diffs.hunks_of(rows).select("diff_id", "file_ord", "hunk_ord", "file_path", "old_start", "old_lines", "new_start", "new_lines", "content", "change_type")
 
 
 @query(f"""WITH RECURSIVE {_FACTS}, e AS (SELECT diff_id, file_ord AS ord, regexp_extract(new_path, '^(.*)/[^/]*$', 1) AS dir, ((strlen(old_path) + 7 + strlen(new_path) + 7 + hunks * 20 + bytes) // 4)::BIGINT AS tokens FROM fx),
@@ -407,7 +408,13 @@ def has_chunks(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.has_chunks(rows.where("content is not null").select(text.content_hash("content").alias("content_hash")).distinct(), rows)
 
 
-@query()
+@query(f"""WITH {_BM}, {_DF}, sm AS (SELECT diff_id, file_ord, new_path, regexp_replace(split_part(new_path, '/', -1), '^(.+)\\.[^.]*$', '\\1') AS stem FROM df WHERE new_path IS NOT NULL),
+qt AS (SELECT DISTINCT stem, unnest(regexp_extract_all(lower(stem), '[a-z0-9]+')) AS term FROM sm WHERE stem <> ''), s AS (SELECT stem, chunk_id, {_BMSCORE} AS score FROM qt JOIN pt USING (term) JOIN dfq USING (term), st GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY score DESC, chunk_id) AS place FROM s QUALIFY place <= 3),
+r AS (SELECT diff_id, file_ord, place, chunk_id, '// Related: ' || coalesce(entity_name, '') || ' (' || file_path || ':' || start_line || ')' || chr(10) || coalesce(content, '') AS snippet FROM sm JOIN o USING (stem) JOIN ch USING (chunk_id) WHERE file_path <> new_path),
+n AS (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY file_ord, place, chunk_id) AS part_no FROM r QUALIFY part_no <= 3),
+u AS (SELECT *, sum(strlen(snippet)) OVER (PARTITION BY diff_id ORDER BY part_no) + 2 * (part_no - 1) AS used FROM n)
+SELECT diff_id, part_no::INT AS part_no, chunk_id, snippet FROM u WHERE used <= 4000""")
 def related_snippets(spark: SparkSession, d: str) -> DataFrame:
     rows = _chunks(spark, d)
     post = retrieval.postings(rows, "chunk_id", "entity_name", "content", "context_header")
