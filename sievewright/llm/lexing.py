@@ -304,7 +304,7 @@ def _lex(text: str, lang: str, state: str, out: list, pos: int, hole: bool, mark
                 last, pos, markup = out[-1], t.end(), False  # nothing is tried twice
                 continue
         if regexes and text[pos] == "/" and (last[0] in ("op", "open", "nl", "com") or (last[0] == "id" and last[1] in _BEFORE_REGEX)):
-            r = _REGEX.match(text, pos) or lang == "ruby" and last[0] in ("op", "open") and _REGEX_LINES.match(text, pos)
+            r = _REGEX.match(text, pos) or lang == "ruby" and last[0] in ("op", "open", "nl") and _REGEX_LINES.match(text, pos)
             if r and text[pos:pos + 2] not in ("//", "/*"):
                 out.append(("str", r.group(), pos))
                 last, pos = out[-1], r.end()
