@@ -153,7 +153,7 @@ def evidence(line: str) -> str | None:
     if _RAISED.search(line):
         return "error"
     low = line.lower()
-    if _CODED.match(line) or _REASON.match(line) or any(h in low for h in _FAIL_HINTS) and _says_failure(low) or ("un" in low or "n" in low and ("null" in low or "nan" in low or "none" in low or "[obj" in low)) and _UNSET.search(line):
+    if _CODED.match(line) or _REASON.match(line) or any(h in low for h in _FAIL_HINTS) and _says_failure(low) or ("undefined" in low or "null" in low or "nan" in low or "none" in low or "[object" in low) and _UNSET.search(line):
         return None if _TELLS.search(low) else "error"
     if any(h in low for h in _SCRIPT_HINTS) and not low.startswith("we ") and _SCRIPTS.search(line) and _ALLOW.search(line) and _VISITOR.search(line) or any(h in low for h in _BROWSER_HINTS) and _BROWSER.search(low):
         return None if _TELLS.search(low) else "script"
@@ -162,9 +162,16 @@ def evidence(line: str) -> str | None:
     return "track" if _TRACK.match(line) else None
 
 
+_BLANKS = re.compile("[ \t\r\f\x0b]+")
+_DIGITS = re.compile("[0-9]+")
+
+
 def normal(line: str) -> str:
     """A line for counting: lower case, single blanks, digits as 0. The same as normal_column."""
-    return re.sub(r"[0-9]+", "0", re.sub(r"[ \t\r\f\x0b]+", " ", line.lower()).strip(" "))
+    low = line.lower()
+    if "  " in low or "\t" in low or "\r" in low or "\f" in low or "\x0b" in low:
+        low = _BLANKS.sub(" ", low)
+    return _DIGITS.sub("0", low.strip(" "))
 
 
 def normal_column(line: Column) -> Column:

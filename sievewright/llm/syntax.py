@@ -56,6 +56,7 @@ def _ruby(tokens: list) -> tuple[list[str], list[str], str | None]:
     commands = 0
     sig = [t for t in tokens if t[0] != "com"]
     in_def, for_open = False, False
+    aliased = False
     edge, dotted, before = 0, False, ""  # where the token before ends; of a command: whether its receiver has a dot
     for kind, tok, at in sig:
         touches, edge = at == edge, at + len(tok)
@@ -116,7 +117,7 @@ def _ruby(tokens: list) -> tuple[list[str], list[str], str | None]:
                     stack.append("k")
                     state, at_start, prev, commands = "start", True, tok, 0
                     continue
-                if tok in RUBY_MAYBE and not (at_start or state == "op"):
+                if tok in RUBY_MAYBE and not (at_start or state == "op" or prev == "|"):
                     state, prev = "op", tok  # a modifier
                     continue
                 if state == "operand" and not at_start:
@@ -129,7 +130,7 @@ def _ruby(tokens: list) -> tuple[list[str], list[str], str | None]:
                 continue
         if kind in ("id", "num", "str", "special"):
             if state == "operand":
-                command = commands <= (1 if dotted else 0) and prev_kind == "id" and not any(b == "(" for b in stack[-1:])
+                command = (commands <= (1 if dotted else 0) or aliased) and (prev_kind == "id" or prev_kind == "special" and prev[-1] in "?!$" or aliased) and not any(b == "(" for b in stack[-1:])
                 if tok in ("and", "or", "not", "rescue"):
                     state, prev = "op", tok
                     continue
@@ -139,7 +140,7 @@ def _ruby(tokens: list) -> tuple[list[str], list[str], str | None]:
                     dotted = before == "."
                 commands += 1
             if at_start:
-                commands, dotted = 0, False
+                commands, dotted, aliased = 0, False, tok in ("alias", "undef")
             before = prev
             state, at_start, prev, prev_kind = "operand", False, tok, kind
             if kind == "special" and tok.endswith(":"):
