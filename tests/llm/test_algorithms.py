@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievewright.llm import mixing, near_records, queries, ranking, together, tokenizer, vectors
@@ -109,6 +110,44 @@ def test_p2_groups_have_links(spark):
     assert got == {1: (1, 1), 2: (1, 1), 4: (1, 1)}
 
 
+def test_p2_keeps_words_once(spark, monkeypatch):
+    rows, kept = some_comments(900, ["hot.py"], 4, vocab=400), []
+
+    def cut(df, really=near_records.cut):
+        out = really(df)
+        kept.append(out.count() if "toks" in df.columns else 0)
+        return out
+
+    monkeypatch.setattr(near_records, "cut", cut)
+    trace, df = [], spark.createDataFrame([(*r, "x", 1) for r in rows], COMMENT)
+    near_records.near_groups(df, trace=trace).collect()
+    assert len(trace) > 2 and sum(kept) <= len(rows)  # nodes branch, and no record is written again for that
+
+
+def test_p2_large_nodes_branch_over_tasks(spark):
+    rows = some_comments(400, ["hot.py"], 2)
+    want = linked(rows)
+    assert p2(spark, rows, node_size=16, trees=8, branch=3.0, gather=100) == want
+    assert p2(spark, rows, node_size=16, depth=0, gather=100, block=64) == want
+
+
+def test_p2_nodes_over_several_batches():
+    rng = np.random.default_rng(1)
+    n = 600
+    node = np.sort(rng.integers(0, 12, n))
+    toks = [rng.choice(60, 12, replace=False).astype(np.int64) * 7919 for _ in range(n)]
+    toks = [toks[i - 1] if i % 3 == 0 and i else toks[i] for i in range(n)]
+    t = pa.table({"tree": np.zeros(n, np.int32), "node": node, "rep": np.arange(n), "line": np.full(n, 3), "toks": pa.array(toks, pa.list_(pa.int64())), "path": pa.array([[]] * n, pa.list_(pa.int64()))})
+    how = {"window": 15, "num": 3, "den": 5, "least": 0.6, "node_size": 24, "trees": 4, "branch": 2.0, "depth": 2, "pays": 3.0}
+    got = [
+        sorted((r["a"], r["b"]) for b in near_records._in_task(0, how | {"rows": rows}, False)(iter(t.to_batches(max_chunksize=7))) for r in b.to_pylist())
+        for rows in (1, 100, 10_000)
+    ]
+    sets = [set(x.tolist()) for x in toks]
+    want = [(a, b) for a, b in combinations(range(n), 2) if node[a] == node[b] and 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+    assert got[0] == got[1] == got[2] and set(got[0]) <= set(want) and len(got[0]) >= 0.99 * len(want) > 100
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)] + [(2000, 2001 + i) for i in range(200)]
